@@ -3,12 +3,15 @@
 Sets are the distinct word shingles of whole texts. Sizes fall into bands whose upper end is 4/3
 of the lower; sets of similarity 0.75 lie in the same band or in neighbouring ones, so every set
 joins the family of its band and that of the next. A family with largest size r splits the shingle
-domain into about 0.34 r partitions. Two linked sets differ in at most k = (|A|+|B|)/7 shingles, so
+domain into about r / 2 partitions. Two linked sets differ in at most k = (|A|+|B|)/7 shingles, so
 of the m non-empty partitions of A at least m - k hold exactly the same shingles in B: the hash of
 a partition's content is a signature, and with m > k one is shared for certain. (This is the
 enumeration of subsets with no second level: one subset, the whole partition, is the choice with
-the fewest signatures for sets that are large against k.) A set for which m > k fails also takes part in a finer
-split and, failing there too, in one with a partition for each shingle, for which m > k always holds.
+the fewest signatures for sets that are large against k.) Shingles that very many documents have
+are left out of the partitions, which can only bring two sets closer. A set for which m > k fails,
+because it is mostly such shingles or by chance, also takes part in a split of all its shingles,
+failing there in a finer one, and at last in one with a partition for each shingle, where m > k
+always holds.
 
 Signatures travel as packed bytes, a row for each map block and bucket, and meet in buckets of
 bounded size. What meets there are candidates. A pair must share m - k signatures, not just one,
@@ -36,6 +39,8 @@ from weftlist.llm.words import SPACED, U, Words, distinct_by_row, grams, mix, te
 
 #: A signature shared by more documents than this gives a star first, and pairs only where needed.
 HOT = 64
+#: Frequent shingles that signatures leave out, at most: 8 bytes each reach every task.
+COMMON = 250_000
 #: Signatures that a map task holds before it writes them out by bucket.
 BLOCK = 2_000_000
 #: Input bytes for each bucket of signatures.
@@ -76,33 +81,35 @@ def _partitions(value, row, n1, family, level, rows):
     full[slot] = True
     at = np.flatnonzero(full)
     owner = np.repeat(np.arange(rows), n1)[at]
-    tag = family[owner].astype(U) * U(0x9E3779B97F4A7C15) + U(level) * U(0xC2B2AE3D27D4EB4F) + (at - offs[owner]).astype(U)
+    tag = family[owner].astype(U) * U(0x9E3779B97F4A7C15) + U(level * 0x52DCE729) + (at - offs[owner]).astype(U)
     return mix(total[at] ^ mix(tag)), owner, np.bincount(owner, minlength=rows)
 
 
-def signatures(value: np.ndarray, bounds: np.ndarray, spread: float = 0.34) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def signatures(value: np.ndarray, bounds: np.ndarray, common: np.ndarray, spread: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(signature, row), and for each row the shared signatures to spare and whether a finer level was needed."""
     size = np.diff(bounds)
     sigs, owners = [], []
     spare, deep = np.full(len(size), 2**30, np.int64), np.zeros(len(size), bool)
     band = np.searchsorted(UPPER, size)
+    rare = np.ones(len(value), bool)
+    if len(common):
+        rare = common[np.minimum(np.searchsorted(common, value), len(common) - 1)] != value
+    owner_of = np.repeat(np.arange(len(size)), size)
     for step in (0, 1):
-        rows = np.flatnonzero(size > 0)
-        for level in range(3):
+        active = size > 0
+        for level in range(4):
+            rows = np.flatnonzero(active)
             if not len(rows):
                 break
-            n = size[rows]
+            n, place = size[rows], np.cumsum(active) - 1
             family = band[rows] + step
             top = UPPER[np.minimum(family, len(UPPER) - 1)]
             k = (n + np.minimum(n * 4 // 3, top)) // 7
             n1 = np.ceil(spread * top).astype(np.int64) + 2
-            elements = np.concatenate([np.arange(bounds[r], bounds[r + 1]) for r in rows]) if len(rows) < len(size) else np.arange(len(value))
-            local = np.repeat(np.arange(len(rows)), n)
-            v = value[elements]
-            if level == 1:
-                n1 = n1 * 4 + 3
-            if level < 2:
-                sig, owner, m = _partitions(v, local, n1, family, level, len(rows))
+            use = active[owner_of] & rare if level == 0 else active[owner_of]
+            v, local = value[use], place[owner_of[use]]
+            if level < 3:
+                sig, owner, m = _partitions(v, local, n1 * 4 + 3 if level == 2 else n1, family, level, len(rows))
             else:
                 sig, owner, m = mix(v ^ mix(family.astype(U) + U(1 << 40))[local]), local, n
             sigs.append(sig)
@@ -110,13 +117,47 @@ def signatures(value: np.ndarray, bounds: np.ndarray, spread: float = 0.34) -> t
             weak = m <= k
             spare[rows[~weak]] = np.minimum(spare[rows[~weak]], (m - k - 1)[~weak])
             deep[rows] |= level > 0
-            rows = rows[weak]
+            active = np.zeros(len(size), bool)
+            active[rows[weak]] = True
     if not sigs:
         return np.zeros(0, U), np.zeros(0, np.int64), spare, deep
     return np.concatenate(sigs), np.concatenate(owners), spare, deep
 
 
-def set_table(docs: DataFrame, width: int) -> DataFrame:
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles found in many documents, ascending; at most ``COMMON``.
+
+    Map tasks count in blocks and report what repeats within a block; the counts are then added up.
+    Any choice gives the same result, as long as all sets leave out the same shingles: it only
+    decides how many signatures are shared by chance.
+    """
+
+    def counts(held):
+        value = np.concatenate(held)
+        value.sort()
+        cut = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+        n = np.diff(np.append(cut, len(value)))
+        often = n >= 3
+        return pa.RecordBatch.from_arrays([pa.array(value[cut[often]].view(np.int64)), pa.array(n[often])], ["shingle", "n"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for _, value, _ in shingle_sets(batch.column(0), width):
+                held.append(value)
+                n += len(value)
+                if n >= 2 * BLOCK:
+                    yield counts(held)
+                    held, n = [], 0
+        if held:
+            yield counts(held)
+
+    found = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(f"n > {HOT}")
+    top = found.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").toArrow()
+    return np.sort(top.column(0).to_numpy().view(U))
+
+
+def set_table(docs: DataFrame, width: int, common) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, spare, deep) of every document."""
 
     def run(batches):
@@ -124,7 +165,7 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
             ids, out = batch.column(0).to_numpy(zero_copy_only=False), []
             for first, value, bounds in shingle_sets(batch.column(1), width):
                 k1, k2 = _set_keys(value, bounds)
-                _, _, spare, deep = signatures(value, bounds)
+                _, _, spare, deep = signatures(value, bounds, common.value)
                 out.append((np.diff(bounds), k1.view(np.int64), k2.view(np.int64), spare, deep))
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in zip(*out))], ["doc_id", "n_shingles", "k1", "k2", "spare", "deep"])
@@ -149,7 +190,7 @@ def _pack(sigs: list, docs: list, buckets: int) -> pa.RecordBatch:
     ], ["bucket", "sigs", "docs"])
 
 
-def _emit(width: int, buckets: int):
+def _emit(width: int, buckets: int, common):
     def run(batches):
         seen, sigs, owners, held = set(), [], [], 0
         for batch in batches:
@@ -161,7 +202,7 @@ def _emit(width: int, buckets: int):
                     if key not in seen:
                         seen.add(key)
                         fresh[i] = True
-                sig, row, _, _ = signatures(value, bounds)
+                sig, row, _, _ = signatures(value, bounds, common.value)
                 use = fresh[row]
                 sig, row = sig[use], row[use]
                 order = np.argsort(row, kind="stable")
@@ -240,6 +281,12 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int = 75) -
     return keep(both.select("a", "b", "ga", "gb").mapInArrow(similar, "a long, b long"), "links")
 
 
+#: The signatures that a link's two documents share at least, of those that both bring: the one without a finer level vouches for the pair.
+NEED = """if(lean_a and lean_b,
+    if(deep_a and deep_b, least(full_a, full_b), if(deep_a, full_b, if(deep_b, full_a, greatest(full_a, full_b)))),
+    greatest(cold_a, cold_b))"""
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
@@ -254,13 +301,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("the size bands hold for a similarity of 0.75 or more")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
-    info = keep(set_table(docs, width), "sets")
+    common = spark.sparkContext.broadcast(common_shingles(docs, width))
+    info = keep(set_table(docs, width, common), "sets")
     named = info.where("doc_id is not null and n_shingles > 0")
     same = named.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = keep(named.join(same.where("copies > 1"), ["k1", "k2", "n_shingles"]).select("doc_id", "rep").distinct(), "copies")
 
     buckets = max(parts(spark), -(-plan_bytes(docs) // BUCKET_BYTES))
-    packed = docs.where("doc_id is not null").mapInArrow(_emit(width, buckets), "bucket int, sigs binary, docs binary")
+    packed = docs.where("doc_id is not null").mapInArrow(_emit(width, buckets, common), "bucket int, sigs binary, docs binary")
     met = packed.groupBy("bucket").applyInArrow(_meet, "hot long, bucket int, ids array<long>, weight long")
     met = keep(met, "met")
 
@@ -268,30 +316,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hot = met.where("hot is not null").select("hot", "bucket", F.explode("ids").alias("doc_id")).distinct()
     held = hot.groupBy("doc_id").agg(F.count("*").alias("h"))
     sets = named.select("doc_id", F.col("n_shingles").alias("n"), "spare", "deep").distinct().join(held, "doc_id", "left").join(copies, "doc_id", "left")
-    sets = sets.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n", F.expr("if(deep, 1, greatest(1, spare + 1 - coalesce(h, 0)))").alias("need"), F.expr("if(deep, coalesce(h, 0) > 0, coalesce(h, 0) > spare)").alias("lean"))
+    sets = sets.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n", "deep", F.expr("spare + 1").alias("full"), F.expr("if(deep, 1, greatest(1, spare + 1 - coalesce(h, 0)))").alias("cold"), F.expr("if(deep, coalesce(h, 0) > 0, coalesce(h, 0) > spare)").alias("lean"))
     groups = met.where("hot is null").groupBy("ids").agg(F.sum("weight").alias("w")).select(F.xxhash64("ids").alias("g"), F.explode("ids").alias("doc_id"), "w", F.lit(False).alias("hot"))
     groups = groups.unionAll(hot.select(F.xxhash64("hot", "bucket", F.lit("hot")), "doc_id", F.lit(1).cast("long"), F.lit(True)))
-    members = keep(groups.join(sets, "doc_id").where("lean or not hot").groupBy("g", "rep", "n", "need", "hot").agg(F.max("w").alias("w")), "members")
+    members = keep(groups.join(sets, "doc_id").where("lean or not hot").groupBy("g", "rep", "n", "deep", "full", "cold", "lean", "hot").agg(F.max("w").alias("w")), "members")
 
     def near(x: DataFrame, y: DataFrame, where: str) -> DataFrame:
         """Pairs of two member tables that share as many signatures as a link must."""
-        x, y = (t.select("g", "hot", "w", *[F.col(c).alias(c + i) for c in t.columns if c not in ("g", "hot", "w")]) for t, i in ((x, "_a"), (y, "_b")))
+        x, y = (t.select("g", "hot", "w", *[F.col(c).alias(c + i) for c in t.columns if c not in ("g", "hot", "w", "size")]) for t, i in ((x, "_a"), (y, "_b")))
         pairs = x.drop("w").join(y, ["g", "hot"]).where(f"{where} and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        pairs = pairs.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.sum("w").alias("w"), F.max(F.greatest("need_a", "need_b")).alias("need"), F.max("hot").alias("hot"))
-        return pairs.where("hot or w >= need").select("a", "b")
+        pairs = pairs.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.sum("w").alias("w"), F.max(F.expr(NEED)).alias("need"))
+        return pairs.where("w >= need").select("a", "b")
 
-    centre = members.groupBy("g", "hot").agg(F.min(F.struct("rep", "n", "need", "w")).alias("c")).select("g", "hot", "c.*")
+    centre = members.groupBy("g", "hot").agg(F.min(F.struct("rep", "n", "deep", "full", "cold", "lean", "w")).alias("c")).select("g", "hot", "c.*")
     stars = keep(near(centre, members, "rep_a < rep_b"), "pairs")
-    first = verified(stars, docs, width, percent)
-    reached = components(first)
-
-    # Groups whose documents are still in different components.
-    placed = members.join(reached.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = keep(placed, "placed")
-    mixed = placed.groupBy("g", "hot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("g", "hot")
-    placed = placed.join(mixed, ["g", "hot"], "left_semi")
-    rest = keep(near(placed, placed, "rep_a < rep_b and component_a <> component_b").join(stars, ["a", "b"], "left_anti"), "pairs")
-    second = verified(rest, docs, width, percent)
-    linked = components(first.unionAll(second))
+    links = verified(stars, docs, width, percent)
+
+    def placed() -> DataFrame:
+        """Members, with their components so far, of the groups that hold several components."""
+        reached = components(links).select(F.col("id").alias("rep"), "component")
+        rows = keep(members.join(reached, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
+        mixed = rows.groupBy("g", "hot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("g", "hot", "size")
+        return rows.join(mixed, ["g", "hot"])
+
+    rows = placed()
+    rest = keep(near(rows, rows, "rep_a < rep_b and component_a <> component_b").join(stars, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionAll(verified(rest, docs, width, percent))
+    linked = components(links)
     out = info.select("doc_id", "n_shingles").join(copies.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     return out.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

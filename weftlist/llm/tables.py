@@ -57,3 +57,13 @@ def only_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return df.join(ids, column, "left_semi")
+
+
+def fence(df: DataFrame, name: str, value) -> DataFrame:
+    """``df`` with a column computed once for each row.
+
+    A generator over a single element stands between the projections: merged into one, an array that a
+    lambda looks into would be computed again for each of its elements.
+    """
+    value = F.expr(value) if isinstance(value, str) else value
+    return df.select("*", F.explode(F.array(value)).alias(name))
