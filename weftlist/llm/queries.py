@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlist.llm import contamination, jaccard_join, kd_shards, line_chunks, packing, toxicity, url_rules
+from weftlist.llm import contamination, jaccard_join, kd_shards, license_scan, line_chunks, order_minhash, packing, suffix_dedup, toxicity, url_rules
 from weftlist.llm.tables import read
 
 
@@ -29,6 +29,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_start", "worst_end")
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare(read(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard(read(spark, sf_dir, "documents"), 24)
 
@@ -37,6 +45,11 @@ def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -51,7 +64,7 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_toxicity, op5_kd_shards, op6_contamination, op8_packing, op9_url_rules, op10_line_chunks)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_toxicity, op3_order_minhash, op4_license_scan, op5_kd_shards, op6_contamination, op7_suffix_dedup, op8_packing, op9_url_rules, op10_line_chunks)}
 
 
 def _last_rule() -> str:
