@@ -1,19 +1,257 @@
-"""All queries of the page-list engine, by name."""
+"""All queries of the page-list engine, by name, with DuckDB SQL where SQL expresses them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weftlist.functions import stats, text
+from weftlist.operators import candidates, ranking
+from weftlist.sources import html
+
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+WS = r"regexp_replace(regexp_replace({}, '[ \t\n\x0B\f\r]+', ' ', 'g'), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, {WS.format('text')} AS norm FROM documents")
+def ws_normalize(s, d):
+    return table(s, d, "documents").select("doc_id", text.ws_normalize(F.col("text")).alias("norm"))
+
+
+def _simple(c: str) -> str:
+    for pattern, to in text.REWRITES:
+        c = f"regexp_replace({c}, '{pattern}', '{to.replace(chr(39), chr(39) * 2)}', 'g')" if "'" not in pattern else c
+    c = rf"regexp_replace({c}, '\[(nb )?[0-9]+\]', '', 'g')"
+    c = rf"regexp_replace({c}, '\*+$', '')"
+    c = rf"regexp_replace({c}, '\(([0-9]{{4}}(-[0-9]{{4}})?)?\)', '', 'g')"
+    c = WS.format(c)
+    return rf"""regexp_replace({c}, '^"([^"]*)"$', '\1')"""
+
+
+@query(rf"""WITH a AS (SELECT c_custkey, {_simple("c_name || ' [1] (1969)**'")} AS x FROM customer)
+SELECT c_custkey, {WS.format("CASE WHEN regexp_matches(x, '^[0-9.]+$') THEN x ELSE regexp_replace(x, '^[0-9]+[.]', '') END")} AS norm FROM a""")
+def norm_simple_ascii(s, d):
+    return table(s, d, "customer").select("c_custkey", text.simple_normalize(F.concat("c_name", F.lit(" [1] (1969)**")), marks=False).alias("norm"))
+
+
+@query()
+def norm_aggressive(s, d):
+    return table(s, d, "documents").select("doc_id", text.aggressive_normalize(F.col("text")).alias("norm"))
+
+
+SHAPE = "array_to_string(list_transform(list_filter(list_zip(c, range(len(c))), lambda x: x[2] = 0 OR x[1] <> c[x[2]]), lambda x: x[1]), '')"
+
+
+@query(f"""WITH a AS (SELECT p_partkey, string_split(regexp_replace(regexp_replace(regexp_replace(p_name, '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', '0', 'g'), '') AS c FROM part)
+SELECT p_partkey, {SHAPE} AS shape FROM a""")
+def phrase_shape(s, d):
+    return table(s, d, "part").select("p_partkey", text.phrase_shape(F.col("p_name")).alias("shape"))
+
+
+@query("SELECT doc_id, list_sort(list_distinct(regexp_extract_all(regexp_replace(text, '[0-9]', '0', 'g'), '[A-Za-z0-9]+'))) AS words FROM documents")
+def bag_of_words(s, d):
+    return table(s, d, "documents").select("doc_id", text.bag_of_words(F.col("text")).alias("words"))
+
+
+@query("SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+|[0-9]+') AS tokens FROM conversations")
+def alnum_tokens(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", text.alnum_tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, unnest(string_split({WS.format('text')}, ' ')) AS token FROM conversations)
+SELECT conv_id, turn, count(*) AS n, count(try_cast(token AS DOUBLE)) AS n_cd FROM a GROUP BY ALL""")
+def crude_tokens(s, d):
+    t = table(s, d, "conversations").select("conv_id", "turn", text.crude_tokens(F.col("text")).alias("t"))
+    return t.select("conv_id", "turn", F.size("t").cast("long").alias("n"), F.size(F.filter("t", lambda x: x.pos == "CD")).cast("long").alias("n_cd")).groupBy("conv_id", "turn").agg(F.sum("n").alias("n"), F.sum("n_cd").alias("n_cd"))
+
+
+STATS = """WITH c AS (SELECT {k}, {v} AS v, count(*) AS c FROM {t} GROUP BY ALL),
+m AS (SELECT {k}, max(c) AS top FROM c GROUP BY ALL)
+SELECT c.{k}, CAST(sum(c) AS BIGINT) AS size, count(*) AS "distinct", max(c) AS max_dup,
+CASE WHEN count(*) FILTER (c = top) = 1 THEN max(v) FILTER (c = top) END AS majority,
+round(CASE WHEN count(*) = 1 THEN 0 ELSE ln(sum(c)) - sum(c * ln(c)) / sum(c) END, 6) AS entropy,
+round(CASE WHEN sum(c) <= 1 OR count(*) = 1 THEN 0 ELSE (ln(sum(c)) - sum(c * ln(c)) / sum(c)) / ln(sum(c)) END, 6) AS normalized_entropy
+FROM c JOIN m USING ({k}) GROUP BY c.{k}"""
+
+
+def _stats(df, key, value):
+    out = stats.multiset(df, [key], value)
+    return out.withColumn("entropy", F.round("entropy", 6)).withColumn("normalized_entropy", F.round("normalized_entropy", 6))
+
+
+@query(STATS.format(k="o_orderstatus", v="o_orderpriority", t="orders"))
+def multiset_orders(s, d):
+    return _stats(table(s, d, "orders"), "o_orderstatus", "o_orderpriority")
+
+
+@query(STATS.format(k="p_brand", v="p_type", t="part"))
+def multiset_parts(s, d):
+    return _stats(table(s, d, "part"), "p_brand", "p_type")
+
+
+@query("SELECT p_brand, round(sum(DISTINCT CAST(p_size AS DOUBLE)) / count(p_size), 6) AS mean FROM part GROUP BY p_brand")
+def mean_dev(s, d):
+    return stats.mean_dev(table(s, d, "part"), ["p_brand"], "p_size").select("p_brand", F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT p_partkey, list_filter([1 << i for i in range(31)], lambda p: p <= p_size) AS steps, list_filter(range(0, 101, 20), lambda i: i <= least(p_size * 2.0, 100)) AS pct, CAST(floor(least(greatest(p_size / 50.0, 0), 0.9999) * 10) AS INT) AS bin FROM part")
+def quantized(s, d):
+    return table(s, d, "part").select("p_partkey", stats.quantized(F.col("p_size")).alias("steps"), F.transform(stats.percents(F.col("p_size") / 50.0), lambda x: x.cast("long")).alias("pct"), stats.bin_of(F.col("p_size") / 50.0).alias("bin"))
+
+
+@query("""WITH n AS (SELECT p_partkey, p_brand, p_size, p_name FROM part WHERE p_partkey <= 1000000000),
+d AS (SELECT DISTINCT p_name FROM n)
+SELECT a.p_name AS gold, b.p_name AS predicted FROM d a JOIN d b ON abs(length(a.p_name) - length(b.p_name)) <= 2 AND a.p_name <> b.p_name AND
+list_min(list_transform(range(0, least(3, length(b.p_name))), lambda j: j + CAST(substr(a.p_name, 1, 1) <> substr(b.p_name, CAST(j AS INT) + 1, 1) AS INT) + levenshtein(substr(a.p_name, 2), substr(b.p_name, CAST(j AS INT) + 2)))) <= 2""")
+def near_match_join(s, d):
+    names = table(s, d, "part").select("p_name").distinct()
+    a = names.select(F.col("p_name").alias("gold"), F.explode(F.sequence(F.char_length("p_name") - 2, F.char_length("p_name") + 2)).alias("n"))
+    b = names.select(F.col("p_name").alias("predicted"), F.char_length("p_name").alias("n"))
+    return a.join(b, "n").where("gold <> predicted").where(text.near(F.col("gold"), F.col("predicted"), 2)).select("gold", "predicted")
+
+
+@query("""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, i < CAST(floor(n * 0.8) AS BIGINT) AS train, i >= CAST(floor(n * 0.8) AS BIGINT) AS test FROM o""")
+def train_test_split(s, d):
+    o = table(s, d, "orders").select("o_orderkey")
+    n = o.count()
+    # Positions come from sorted partitions and their sizes, not from one global window.
+    r = o.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").withColumn("p", F.spark_partition_id())
+    sizes = r.groupBy("p").agg(F.count("*").alias("c"))
+    before = sizes.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("before"))
+    i = r.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("o_orderkey")) - 1).join(F.broadcast(before), "p").withColumn("i", F.col("before") + F.col("k"))
+    return i.select("o_orderkey", (F.col("i") < int(n * 0.8)).alias("train"), (F.col("i") >= int(n * 0.8)).alias("test"))
+
+
+@query("SELECT event_id, 'train' AS split FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, 'test' FROM events WHERE event_type <> 'click'")
+def dataset_union(s, d):
+    e = table(s, d, "events")
+    return e.where("event_type = 'click'").select("event_id", F.lit("train").alias("split")).unionByName(e.where("event_type <> 'click'").select("event_id", F.lit("test").alias("split")))
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
+f AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY rank) = 1 THEN 1 ELSE 0 END AS fst FROM r)
+SELECT o_orderkey, CAST(rank AS INT) AS rank, CAST(sum(fst) OVER (PARTITION BY o_custkey ORDER BY rank) AS INT) AS unique_rank FROM f""")
+def rank_unique_rank(s, d):
+    return ranking.ranked(table(s, d, "orders"), ["o_custkey"], "o_totalprice", ["o_orderkey"], "o_orderpriority").select("o_orderkey", F.col("rank").cast("int").alias("rank"), "unique_rank")
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
+f AS (SELECT o_custkey, min(rank) FILTER (o_orderstatus = 'F') AS first_true FROM r GROUP BY o_custkey)
+SELECT k, round(count(*) FILTER (first_true <= k) / count(*), 6) AS accuracy FROM f, range(1, 11) t(k) GROUP BY k""")
+def accuracy_at_k(s, d):
+    r = ranking.ranked(table(s, d, "orders"), ["o_custkey"], "o_totalprice", ["o_orderkey"], "o_orderkey")
+    first = r.groupBy("o_custkey").agg(F.min(F.when(F.col("o_orderstatus") == "F", F.col("rank"))).alias("t"))
+    hist = first.groupBy("t").agg(F.count("*").alias("c")).groupBy().agg(F.sum("c").alias("n"), F.collect_list(F.when(F.col("t") <= 10, F.struct("t", "c"))).alias("h"))
+    k = hist.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(10).cast("long"))))
+    return k.select("k", F.round(F.expr("aggregate(h, 0L, (a, x) -> a + if(x.t <= k, x.c, 0L))") / F.col("n"), 6).alias("accuracy"))
+
+
+@query("""WITH f AS (SELECT l_orderkey, 'flag ' || l_returnflag AS feature, l_quantity AS value FROM lineitem UNION ALL SELECT l_orderkey, 'status ' || l_linestatus, l_discount FROM lineitem),
+p(feature, weight) AS (VALUES ('flag A', 0.5), ('flag N', -0.25), ('status O', 2.0))
+SELECT l_orderkey, round(sum(value * coalesce(weight, 0)), 4) AS score FROM f LEFT JOIN p USING (feature) GROUP BY l_orderkey""")
+def feature_dot_product(s, d):
+    l = table(s, d, "lineitem")
+    f = l.select("l_orderkey", F.inline(F.array(F.struct(F.concat(F.lit("flag "), "l_returnflag").alias("feature"), F.col("l_quantity").alias("value")), F.struct(F.concat(F.lit("status "), "l_linestatus").alias("feature"), F.col("l_discount").alias("value")))))
+    p = s.sql("select * from values ('flag A', 0.5D), ('flag N', -0.25D), ('status O', 2.0D) as t(feature, weight)")
+    return ranking.dot(f, F.broadcast(p), ["l_orderkey"]).select("l_orderkey", F.round("score", 4).alias("score"))
+
+
+@query("SELECT p_name AS feature, count(DISTINCT p_brand) AS n FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) >= 2")
+def count_prune(s, d):
+    return table(s, d, "part").select("p_brand", "p_name").distinct().groupBy(F.col("p_name").alias("feature")).agg(F.count("*").alias("n")).where("n >= 2")
+
+
+SOFTMAX = """WITH x AS (SELECT p_brand, p_partkey, p_size / 10.0 AS score, CASE WHEN p_type LIKE '%STEEL%' THEN 1 ELSE 0 END AS reward FROM part),
+m AS (SELECT *, exp(score - max(score) OVER (PARTITION BY p_brand)) AS e FROM x),
+z AS (SELECT *, sum(e) OVER (PARTITION BY p_brand) AS ze, sum(e * reward) OVER (PARTITION BY p_brand) AS zr FROM m)
+SELECT p_partkey, round(e * reward / zr - e / ze, 9) AS q FROM z WHERE zr > 0"""
+
+
+@query(SOFTMAX)
+def softmax_expectation_diff(s, d):
+    x = table(s, d, "part").select("p_brand", "p_partkey", (F.col("p_size") / 10.0).alias("score"), F.col("p_type").contains("STEEL").cast("int").alias("reward"))
+    top = x.groupBy("p_brand").agg(F.max("score").alias("m"))
+    e = x.join(top, "p_brand").withColumn("e", F.exp(F.col("score") - F.col("m")))
+    z = e.groupBy("p_brand").agg(F.sum("e").alias("ze"), F.sum(F.col("e") * F.col("reward")).alias("zr")).where("zr > 0")
+    return e.join(z, "p_brand").select("p_partkey", F.round(F.col("e") * F.col("reward") / F.col("zr") - F.col("e") / F.col("ze"), 9).alias("q"))
+
+
+@query("""WITH g AS (SELECT p_name AS feature, sum(p_size - 25.5) / 100 AS g, 0.1 AS w, 1.0 AS s FROM part GROUP BY p_name)
+SELECT feature, round(w + CASE WHEN abs(g - 0.01 * w) < 1e-6 THEN 0 ELSE (g - 0.01 * w) / sqrt(s + (g - 0.01 * w) * (g - 0.01 * w)) END, 6) AS weight FROM g""")
+def adagrad_step(s, d):
+    g = table(s, d, "part").groupBy(F.col("p_name").alias("feature")).agg((F.sum(F.col("p_size") - 25.5) / 100 - 0.01 * 0.1).alias("g"))
+    return g.select("feature", F.round(0.1 + F.when(F.abs("g") < 1e-6, 0.0).otherwise(F.col("g") / F.sqrt(1.0 + F.col("g") * F.col("g"))), 6).alias("weight"))
+
+
+@query("SELECT vec_id % 10 AS grp, i, round(avg(x), 5) AS mean, min(x) AS low, max(x) AS high FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY ALL")
+def vec_average(s, d):
+    e = table(s, d, "embeddings").select((F.col("vec_id") % 10).alias("grp"), F.posexplode("embedding").alias("i", "x"))
+    return e.groupBy("grp", F.col("i").cast("long").alias("i")).agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"), F.min("x").alias("low"), F.max("x").alias("high"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages WHERE regexp_extract(url, '://([^/?#]*)', 1) NOT LIKE '%spam%'""")
+def blacklist_hosts(s, d):
+    return table(s, d, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).where("host not like '%spam%'")
+
+
+@query("""SELECT n_name, r_name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
+def type_entity_counts(s, d):
+    x = table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    return x.join(F.broadcast(table(s, d, "nation")), "n_nationkey").join(F.broadcast(table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("n_name", "r_name").agg(F.sum("n").alias("n"))
+
+
+NAV = "regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1)"
+
+
+@query(f"SELECT page_id, {NAV} AS entities FROM pages")
+def nav_link_list(s, d):
+    n = html.nodes(table(s, d, "pages")).where("root_no = 0 and tag = 'a' and array_join(tags, '/') = 'html/body/nav/ul/li/a'")
+    return n.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pre_id", "full_text"))), lambda x: x.full_text).alias("entities"))
+
+
+@query()
+def page_nodes(s, d):
+    return html.nodes(table(s, d, "pages")).groupBy("page_id", "root_no").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"))
+
+
+@query()
+def candidate_lists(s, d):
+    return candidates.candidates(html.nodes(table(s, d, "pages"))).select("page_id", "root_no", "xpath", "node_ids", "entities")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The largest list of every page: rank 1 by size, ties by root and path."""
+    c = candidates.candidates(html.nodes(table(spark, sf_dir, "pages"))).withColumn("size", F.size("entities"))
+    r = ranking.ranked(c, ["page_id"], "size", ["root_no", "xpath"], "entities")
+    return r.where("rank = 1").select("page_id", "xpath", "size", "entities")
+
+
+Q["top_candidate_per_page"] = flagship
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
