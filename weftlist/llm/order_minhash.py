@@ -48,13 +48,14 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("fingerprint", F.array_join("_f", "-")).drop("_f")
 
 
-def with_next(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], buckets: int, ids: DataFrame) -> DataFrame:
     """Each row with ``next_<column>`` of the next row in descending order of doc_id; after the last comes the first.
 
     Ids are range-partitioned; the first row of each bucket is also sent to the bucket before it, so that no task
-    holds more than a bucket. Equal ids follow each other in order of text; null ids come last.
+    holds more than a bucket. Equal ids follow each other in order of text; null ids come last. ``ids`` holds the
+    column doc_id of the same rows, from a plan that leaves out what ``docs`` computes.
     """
-    ids = keep(docs.select("doc_id").repartitionByRange(buckets, F.col("doc_id").desc_nulls_last()).withColumn("bucket", F.spark_partition_id()), "ids")
+    ids = keep(ids.select("doc_id").repartitionByRange(buckets, F.col("doc_id").desc_nulls_last()).withColumn("bucket", F.spark_partition_id()), "ids")
     edges = ids.groupBy("bucket").agg(F.max("doc_id").alias("high"), F.min("doc_id").alias("low"), F.count("*").alias("rows"), F.count("doc_id").alias("named")).orderBy("bucket").collect()
     tops = [r.high for r in edges if r.named]
     if not tops:
@@ -79,7 +80,7 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     buckets = max(1, parts(docs.sparkSession))
-    rows = with_next(sketch(docs, "text", "f"), ["text", "f"], buckets)
+    rows = with_next(sketch(docs, "text", "f"), ["text", "f"], buckets, docs)
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
     rows = fence(rows, "edited", "concat(left(text, cast(n_chars as int) - cut), left(next_text, cut))")
     rows = sketch(rows.drop("next_text", "text"), "edited", "g")
