@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlist.llm.components import components
-from weftlist.llm.tables import keep, only_ids, parts, plan_bytes
+from weftlist.llm.tables import fence, keep, only_ids, parts, plan_bytes
 from weftlist.llm.words import SPACED, U, Words, distinct_by_row, grams, mix, text_slices
 
 #: A signature shared by more documents than this gives a star first, and pairs only where needed.
@@ -259,26 +259,15 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int = 75) -
 
     def sets(batches):
         for batch in batches:
-            out = []
-            for _, value, bounds in shingle_sets(batch.column(1), width):
-                out += [value[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
-            if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "grams"])
+            for first, value, bounds in shingle_sets(batch.column(1), width):
+                held = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(held)), held], ["doc_id", "grams"])
 
-    def similar(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist()):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                good.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    grams_of = keep(only_ids(docs, ids).mapInArrow(sets, "doc_id long, grams binary"), "grams").dropDuplicates(["doc_id"])
+    # Compared in the JVM, a pair at a time: batches of pairs would hold a long set once for every partner.
+    grams_of = keep(only_ids(docs, ids).mapInArrow(sets, "doc_id long, grams array<long>"), "grams").dropDuplicates(["doc_id"])
     both = pairs.join(grams_of.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(grams_of.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
-    return keep(both.select("a", "b", "ga", "gb").mapInArrow(similar, "a long, b long"), "links")
+    both = fence(both, "shared", "size(array_intersect(ga, gb))")
+    return keep(both.where(f"100L * shared >= {percent} * (size(ga) + size(gb) - shared)").select("a", "b"), "links")
 
 
 #: The signatures that a link's two documents share at least, of those that both bring: the one without a finer level vouches for the pair.
