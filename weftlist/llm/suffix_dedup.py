@@ -41,8 +41,7 @@ def stretches(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarr
     n = len(hashes)
     if n < w:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),)
-    bits = int(n).bit_length()
-    mask = U((1 << bits) - 1)
+    mask = U((1 << 31) - 1)  # one mask for all slices, so that equal windows agree wherever they lie
     value = (hashes & ~mask) | np.arange(n, dtype=U)
     padded = np.full(-(-n // w) * w, ~U(0))
     padded[:n] = value
