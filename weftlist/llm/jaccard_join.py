@@ -34,17 +34,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlist.llm.components import components
-from weftlist.llm.tables import fence, keep, only_ids, parts, plan_bytes
+from weftlist.llm.tables import keep, only_ids, parts, plan_bytes
 from weftlist.llm.words import SPACED, U, Words, distinct_by_row, grams, mix, text_slices
 
 #: A signature shared by more documents than this gives a star first, and pairs only where needed.
 HOT = 64
 #: Frequent shingles that signatures leave out, at most: 8 bytes each reach every task.
 COMMON = 250_000
-#: Signatures that a map task holds before it writes them out by bucket.
-BLOCK = 2_000_000
+#: Shingles that a map task counts at a time, and signatures that it holds before it writes them out by bucket.
+COUNTED = 4_000_000
+BLOCK = 1_000_000
 #: Input bytes for each bucket of signatures.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 1 << 20
+#: Bytes of sets on each side of a cell of pairs, pairs of a cell, and elements compared at a time.
+CELL_BYTES = 16 << 20
+CELL_PAIRS = 1_000_000
+COMPARED = 2_000_000
 
 _upper = [0]
 while _upper[-1] < 2**31:
@@ -146,7 +151,7 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
             for _, value, _ in shingle_sets(batch.column(0), width):
                 held.append(value)
                 n += len(value)
-                if n >= 2 * BLOCK:
+                if n >= COUNTED:
                     yield counts(held)
                     held, n = [], 0
         if held:
@@ -253,21 +258,67 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"hot": pa.array(out_sig, pa.int64()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(out_sig), pa.int32()), "ids": pa.array(out_ids, pa.list_(pa.int64())), "weight": pa.array(out_weight, pa.int64())})
 
 
+def similar(value: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of set numbers (a, b), ordered by a, are similar enough; a set's elements are value[bounds[i]:bounds[i + 1]]."""
+    code = np.unique(value, return_inverse=True)[1]
+    size, mark = np.diff(bounds), np.zeros(len(value) + 1, bool)
+    good = np.zeros(len(a), bool)
+    cuts = np.flatnonzero(np.diff(a, prepend=-1))
+    for low, high in zip(cuts, np.append(cuts[1:], len(a))):
+        own = code[bounds[a[low]] : bounds[a[low] + 1]]
+        mark[own] = True
+        while low < high:
+            # Partners whose elements together are about COMPARED, one at least.
+            total = np.cumsum(size[b[low:high]])
+            end = low + max(1, int(np.searchsorted(total, COMPARED, "right")))
+            part = b[low:end]
+            flat = mark[np.concatenate([code[bounds[i] : bounds[i + 1]] for i in part])]
+            shared = np.add.reduceat(flat, np.append(0, total[: end - low - 1]), dtype=np.int64)
+            good[low:end] = 100 * shared >= percent * (len(own) + size[part] - shared)
+            low = end
+        mark[own] = False
+    return good
+
+
+def _compare(percent: int):
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        held = sets.column("grams").cast(pa.large_binary()).combine_chunks()
+        held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+        _, offsets, data = held.buffers()
+        offs = np.frombuffer(offsets, np.int64)[held.offset : held.offset + len(held) + 1]
+        value = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].copy().view(np.int64)
+        ids = sets.column("doc_id").to_numpy()
+        order = np.argsort(ids)
+        a, b = (order[np.searchsorted(ids[order], pairs.column(c).to_numpy())] for c in ("a", "b"))
+        by = np.argsort(a, kind="stable")
+        good = by[similar(value, (offs - offs[0]) // 8, a[by], b[by], percent)]
+        return pairs.select(["a", "b"]).take(pa.array(good))
+
+    return run
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int = 75) -> DataFrame:
-    """The pairs (a, b) of documents whose whole shingle sets are similar enough."""
+    """The pairs (a, b) of documents whose whole shingle sets are similar enough.
+
+    Pairs are dealt into cells by the hashes of both documents, and a set goes once to each cell that has a pair
+    of it, so the members of a large group are not sent once for every partner.
+    """
+    spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def sets(batches):
         for batch in batches:
             for first, value, bounds in shingle_sets(batch.column(1), width):
-                held = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(value.view(np.int64)))
+                held = pa.array([value[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(held)), held], ["doc_id", "grams"])
 
-    # Compared in the JVM, a pair at a time: batches of pairs would hold a long set once for every partner.
-    grams_of = keep(only_ids(docs, ids).mapInArrow(sets, "doc_id long, grams array<long>"), "grams").dropDuplicates(["doc_id"])
-    both = pairs.join(grams_of.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(grams_of.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
-    both = fence(both, "shared", "size(array_intersect(ga, gb))")
-    return keep(both.where(f"100L * shared >= {percent} * (size(ga) + size(gb) - shared)").select("a", "b"), "links")
+    grams_of = keep(only_ids(docs, ids).mapInArrow(sets, "doc_id long, grams binary"), "grams")
+    side = max(parts(spark) ** 0.5, plan_bytes(grams_of) / CELL_BYTES, (pairs.count() / CELL_PAIRS) ** 0.5)
+    side = int(-(-side // 1))
+    cells = pairs.select(F.expr(f"pmod(xxhash64(a), {side}) * {side} + pmod(xxhash64(b), {side})").alias("cell"), "a", "b")
+    wanted = cells.select("cell", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    placed = wanted.join(grams_of.dropDuplicates(["doc_id"]), "doc_id").select(F.col("cell").alias("at"), "doc_id", "grams")
+    return keep(cells.groupBy("cell").cogroup(placed.groupBy("at")).applyInArrow(_compare(percent), "a long, b long"), "links")
 
 
 #: The signatures that a link's two documents share at least, of those that both bring: the one without a finer level vouches for the pair.
