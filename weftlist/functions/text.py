@@ -88,3 +88,44 @@ def near(a: Column, b: Column, limit: int) -> Column:
     ways = [F.when(F.lit(j) < F.char_length(b), j + (F.substring(a, 1, 1) != F.substring(b, j + 1, 1)).cast("int") + F.levenshtein(tail, F.substring(b, j + 2, 2**30))) for j in range(limit + 1)]
     hit = F.exists(F.array(*ways), lambda d: F.coalesce(d <= limit, F.lit(False)))
     return F.coalesce((F.abs(F.char_length(a) - F.char_length(b)) <= limit) & F.when(a == "", F.char_length(b) <= limit).otherwise(hit), F.lit(False))
+
+
+# Rewrites of a phrase before its head word is sought.
+PHRASE_REWRITES = [(" wiki(pedia)?$", ""), ("^(type|name) of ", ""), (r" (episodes?) (season \d+)$", " $1 of $2")]
+
+
+def hack_phrase(c: Column) -> Column:
+    for pattern, to in PHRASE_REWRITES:
+        c = F.regexp_replace(c, pattern, to)
+    return c
+
+
+def head_index(tags: Column, entities: Column) -> Column:
+    """Place of the head word, from part-of-speech and entity tags; null for no tokens.
+
+    Before the first preposition or question word that isn't at the start: the last noun if the token before is not a
+    named entity, else that token. Without one: the last token that is no number or date.
+    """
+    places = F.sequence(F.lit(0), F.size(tags) - 1)
+    cut = F.get(F.filter(places, lambda i: (i > 0) & F.get(tags, i).isin("IN", "WP", "WDT", "TO")), F.lit(0))
+    noun = F.array_max(F.filter(places, lambda i: (i < cut) & F.startswith(F.get(tags, i), F.lit("N"))))
+    plain = F.array_max(F.filter(places, lambda i: (F.get(tags, i) != "CD") & (F.coalesce(F.get(entities, i), F.lit("O")) != "DATE")))
+    before = F.when(F.get(entities, cut - 1) == "O", F.coalesce(noun, cut - 1)).otherwise(cut - 1)
+    return F.when(F.size(tags) > 0, F.when(cut.isNotNull(), before).otherwise(plain))
+
+
+def canonical_pos(tag: Column) -> Column:
+    """Nouns, verbs and question words by their first letter."""
+    return F.when(F.substring(tag, 1, 1).isin("N", "V", "W"), F.substring(tag, 1, 1)).otherwise(tag)
+
+
+def cluster_prefixes(cluster: Column) -> Column:
+    """Prefixes of a bit-string cluster by length; none for null."""
+    lengths = F.array(*map(F.lit, (4, 6, 10, 20)))
+    return F.transform(F.when(cluster.isNotNull(), lengths), lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"), F.substring(cluster, F.lit(1), n)))
+
+
+def sampled(items: Column, limit: int = 30, width: int = 60) -> Column:
+    """A list for display: items cut to ``width``; of a longer list the first limit - 3 and the last 4."""
+    short = F.transform(items, lambda s: F.substring(s, 1, width))
+    return F.when(F.size(items) <= limit, short).otherwise(F.concat(F.slice(short, 1, limit - 3), F.slice(short, -4, 4)))

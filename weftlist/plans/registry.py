@@ -255,3 +255,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return SQL
+
+
+from weftlist.plans import lists  # noqa: E402, F401  registers its queries here
