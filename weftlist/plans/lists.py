@@ -15,21 +15,31 @@ from weftlist.sources import html
 KEYS = features.KEYS
 
 
+def _kept(df, name):
+    """``df`` written to the shared folder and read again: pages are parsed once, however often their nodes are used."""
+    path = f"{_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _groups(s, d):
-    nodes = html.nodes(table(s, d, "pages"))
+    nodes = _kept(html.nodes(table(s, d, "pages")), "nodes")
     groups = candidates.groups(candidates.candidates(nodes)).withColumn("group_id", F.xxhash64("node_ids"))
-    return nodes, groups
+    return nodes, _kept(groups, "groups")
+
+
+def _candidates(s, d):
+    return candidates.candidates(_kept(html.nodes(table(s, d, "pages")), "nodes"))
 
 
-def _cut(params):
-    """A folder that executors share, for the parameters of each step."""
-    spark = params.sparkSession
+def _folder(spark):
+    """A fresh folder that executors share."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="weftlist-")
-    return f"{folder.rstrip('/')}/fit-{os.urandom(8).hex()}"
+    return f"{folder.rstrip('/')}/weftlist-{os.urandom(8).hex()}"
 
 
 @query()
@@ -54,7 +64,7 @@ def features_entity(s, d):
 
 @query()
 def features_path_tail(s, d):
-    c = candidates.candidates(html.nodes(table(s, d, "pages")))
+    c = _candidates(s, d)
     return features.path_tail(c, ["page_id", "root_no", "xpath"])
 
 
@@ -129,17 +139,17 @@ def fold_statistics(s, d):
 @query()
 def train_path_ranker(s, d):
     """Weights of path features after five passes, where a page's navigation lists are what was asked for."""
-    c = candidates.candidates(html.nodes(table(s, d, "pages")))
+    c = _candidates(s, d)
     keys = ["page_id", "root_no", "xpath"]
     f = features.common(features.path_tail(c, keys), ["page_id"])
     rewards = c.select(*keys, F.contains("xpath", F.lit("nav")).cast("double").alias("reward"))
-    out = learning.train(f, rewards, ["page_id"], ["root_no", "xpath"], folder=_cut(f))
+    out = learning.train(f, rewards, ["page_id"], ["root_no", "xpath"], folder=_folder(s))
     return learning.prune(out, 1e-4).select("feature", F.round("weight", 6).alias("weight"))
 
 
 @query()
 def baseline_suffixes(s, d):
-    c = candidates.candidates(html.nodes(table(s, d, "pages")))
+    c = _candidates(s, d)
     return learning.suffix_counts(c.withColumn("reward", F.contains("xpath", F.lit("nav")).cast("int")))
 
 
