@@ -4,6 +4,9 @@ A text is its lines. A chunk ends after a line when the rolling hash over the ha
 before it falls under a threshold, so boundaries depend on nearby content and survive shifts. Chunks of several lines that
 occur more than once anywhere are removed except for their first occurrence, by (doc_id, place).
 Hashes only choose candidates: the chunks' bytes decide.
+
+``dedup_lines`` compares such chunks as wholes and is what the SQL states. ``dedup_passages`` puts a boundary after every
+line and extends each repeat over the equal lines beside it, so that repeated runs go whole wherever they start.
 """
 
 from __future__ import annotations
@@ -53,6 +56,37 @@ def dedup_lines(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", t
     return out.withColumnRenamed("text", text_col).withColumnRenamed("doc_id", id_col)
 
 
+def dedup_passages(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the later occurrences of runs of ``least_lines`` lines or more, and n_lines, n_removed (lines).
+
+    A run goes if an equal run starts earlier, by (doc_id, place), in any text; runs are judged on the input. A longer
+    run is repeated exactly if all its windows of ``least_lines`` lines are, each one line on from the one before, so
+    these windows, extended over one another, give whole runs. Of a run that overlaps its own first
+    occurrence only the lines after that go. The first occurrence of every line stays. Rows, null texts,
+    null ids and other columns are treated as in ``dedup_lines``.
+    """
+    docs = docs.drop("n_lines", "n_removed").withColumnRenamed(id_col, "doc_id").withColumnRenamed(text_col, "text")
+    k = int(least_lines)
+    rows = fence(docs.select("doc_id", "text").where("text is not null and doc_id is not null"), "_lines", F.split("text", "\n", -1)).where(f"size(_lines) >= {k}")
+    rows = rows.withColumn("_row", F.xxhash64("text"))
+    windows = rows.select("doc_id", "_row", F.posexplode(F.expr(f"transform(sequence(0, size(_lines) - {k}), i -> array_join(slice(_lines, i + 1, {k}), '\n'))")).alias("place", "window"))
+    windows = windows.withColumn("hash", F.xxhash64("window"))
+    often = keep(windows.select("hash", F.struct("doc_id", "_row", "place").alias("at")).groupBy("hash").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low <> high").select("hash"), "often")
+    again = keep(only_ids(windows, often, "hash"), "again")
+    first = again.groupBy("hash", "window").agg(F.min(F.struct("doc_id", "place", "_row")).alias("first"))
+    later = again.join(first, ["hash", "window"]).where("struct(doc_id, place, _row) <> first")
+    start = F.expr(f"if(doc_id = first.doc_id and _row = first._row, greatest(place, first.place + {k}), place)")
+    gone = later.select("doc_id", "_row", F.explode(F.sequence(start, F.expr(f"place + {k - 1}"))).alias("line")).groupBy("doc_id", "_row").agg(F.collect_set("line").alias("_gone"))
+    gone = keep(gone, "gone")
+    if gone.count() <= BROADCAST_IDS // 50:
+        gone = F.broadcast(gone)
+    out = fence(docs.withColumn("_row", F.xxhash64("text")).join(gone, ["doc_id", "_row"], "left"), "_lines", F.split("text", "\n", -1))
+    out = out.withColumn("n_lines", F.expr("if(text is null, 0L, cast(size(_lines) as bigint))")).withColumn("n_removed", F.expr("if(_gone is null, 0L, cast(size(_gone) as bigint))"))
+    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i]), '\n')"))
+    out = out.withColumn("text", kept).select(*docs.columns, "n_lines", "n_removed")
+    return out.withColumnRenamed("text", text_col).withColumnRenamed("doc_id", id_col)
+
+
 ORACLE = f"""
 WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs),
