@@ -184,39 +184,40 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> D
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
-def complete(counts: np.ndarray, room: int, largest: int, budget: int = 4000) -> list[int]:
+def _reach(counts: np.ndarray, sizes: list[int], room: int) -> list[int]:
+    """For each k the sums up to ``room`` that the first k of ``sizes``, as often as they are left, can make, as bits."""
+    every = (1 << room + 1) - 1
+    out = [1]
+    for size in sizes:
+        sums, left, step = out[-1], min(int(counts[size]), room // size), 1
+        while left > 0 and sums != every:
+            step = min(step, left)
+            sums |= sums << step * size & every
+            left, step = left - step, step * 2
+        out.append(sums)
+    return out
+
+
+def _descend(sums: list[int], counts: np.ndarray, sizes: list[int], top: int, goal: int, times: list[int]) -> None:
+    """Sets how often the first ``top`` sizes are taken to make ``goal``, which they can: the largest as often as possible."""
+    for k in range(top - 1, -1, -1):
+        n = min(int(counts[sizes[k]]), goal // sizes[k])
+        while not sums[k] >> goal - n * sizes[k] & 1:
+            n -= 1
+        times[k] = n
+        goal -= n * sizes[k]
+
+
+def complete(counts: np.ndarray, room: int, largest: int) -> list[int]:
     """The filling of ``room`` by lengths with counts left that wastes least; of equals, the one with the largest lengths.
 
-    Depth first over lengths in descending order: at each step a length and all smaller ones are tried, a filling is
-    dominated if a longer length could replace its last one, and a branch ends when the incumbent
-    wastes nothing. The first filling reached takes the largest fitting length each time: best fit.
+    It is exact: the sums that the lengths can make are bits of one number for each length, and the filling is
+    read off them from the largest length down, without recursion.
     """
-    best: list[int] = []
-    waste, steps = room, 0
-    sizes = np.flatnonzero(counts[: largest + 1])
-    used: dict[int, int] = {}
-    prefix = np.concatenate([[0], np.cumsum(sizes * np.minimum(counts[sizes], room // np.maximum(sizes, 1)))])
-
-    def go(left: int, upper: int, chosen: list[int]) -> None:
-        nonlocal best, waste, steps
-        steps += 1
-        if left < waste:
-            best, waste = list(chosen), left
-        i = int(np.searchsorted(sizes, min(left, upper), "right")) - 1
-        while i >= 0 and waste and steps < budget:
-            if left - prefix[i + 1] >= waste:  # all lengths from here on together can't beat the incumbent
-                return
-            size = int(sizes[i])
-            if used.get(size, 0) < counts[size]:
-                used[size] = used.get(size, 0) + 1
-                chosen.append(size)
-                go(left - size, size, chosen)
-                chosen.pop()
-                used[size] -= 1
-            i -= 1
-
-    go(room, largest, [])
-    return best
+    sizes = np.flatnonzero(counts[: min(largest, room) + 1]).tolist()
+    sums, times = _reach(counts, sizes, room), [0] * len(sizes)
+    _descend(sums, counts, sizes, len(sizes), sums[-1].bit_length() - 1, times)
+    return [size for size, n in zip(sizes[::-1], times[::-1]) for _ in range(n)]
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
