@@ -1,9 +1,10 @@
 """Best-fit packing by bin-completion branch-and-bound.
 
 Texts are tokenized once. Only the piece lengths matter for packing, and there are at most as many
-of these as the capacity: the driver plans on a histogram of bounded size. For the largest length
-left, the undominated fillings around it are enumerated by branch and bound, with the best-fit filling as the
-incumbent and the waste as the bound; the winner is used as often as its lengths last. The plan is
+of these as the capacity: the driver plans on a histogram of bounded size. Best-fit decreasing and the fillings of least
+waste in turn give the incumbent. If it has more sequences than the lower bound, the undominated fillings around the largest
+length left are branched over, with the waste of the whole packing as the bound. This search ends after ``WORK``
+steps; the incumbent is then used, which need not be the fewest sequences. The plan is
 a list of rank ranges for each length, and pieces are assigned by their rank within their length,
 which comes from counts by partition, never from one global sort.
 """
@@ -11,6 +12,7 @@ which comes from counts by partition, never from one global sort.
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
 
 import numpy as np
@@ -25,6 +27,8 @@ from weftlist.llm.words import _SALT, U, _powers, mix
 #: Pieces of text whose ids a worker keeps; code points that it encodes at once.
 CACHE_PIECES = 1_000_000
 SLICE_CHARS = 2 << 20
+#: Steps of the search for fewer sequences; a filling that is looked at counts as many as there are lengths.
+WORK = 4_000_000
 
 
 def _classes() -> np.ndarray:
@@ -220,27 +224,168 @@ def complete(counts: np.ndarray, room: int, largest: int) -> list[int]:
     return [size for size, n in zip(sizes[::-1], times[::-1]) for _ in range(n)]
 
 
+def _following(counts: np.ndarray, room: int, largest: int, last: list[int] | None, most: int) -> list[int] | None:
+    """The filling after ``last`` (the first, if None) by rising waste and, of equal wastes, falling lengths; None once over ``most``."""
+    sizes = np.flatnonzero(counts[: min(largest, room) + 1]).tolist()
+    sums, times = _reach(counts, sizes, room), [0] * len(sizes)
+    goal = room
+    if last is not None:
+        place = {size: k for k, size in enumerate(sizes)}
+        for size in last:
+            times[place[size]] += 1
+        goal, below = sum(last), 0
+        for k, size in enumerate(sizes):
+            for n in range(times[k] - 1, -1, -1):
+                left = below + (times[k] - n) * size
+                if sums[k] >> left & 1:
+                    times[k] = n
+                    _descend(sums, counts, sizes, k, left, times)
+                    return [size for size, n in zip(sizes[::-1], times[::-1]) for _ in range(n)]
+            below += times[k] * size
+        goal -= 1
+    while goal >= 0 and not sums[-1] >> goal & 1:
+        goal -= 1
+    if goal < 0 or room - goal > most:
+        return None
+    _descend(sums, counts, sizes, len(sizes), goal, times)
+    return [size for size, n in zip(sizes[::-1], times[::-1]) for _ in range(n)]
+
+
+def _dominated(counts: np.ndarray, room: int, largest: int, filling: list[int]) -> bool:
+    """Whether a length left over could take the place of smaller ones, or of none, in the filling."""
+    waste, own, sums = room - sum(filling), np.bincount(filling, minlength=len(counts)) if filling else np.zeros(len(counts), np.int64), 1
+    for size in np.flatnonzero(counts[: min(largest, room) + 1]).tolist():
+        low = max(size - waste, 0)
+        if counts[size] > own[size] and sums >> low & (1 << size - low + 1) - 1:
+            return True
+        for _ in range(own[size]):
+            sums |= sums << size
+    return False
+
+
+def _best_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """[(lengths of a sequence, how many such sequences)] by best-fit decreasing; equal sequences are dealt with at once."""
+    rooms: dict[int, list[tuple[list[int], int]]] = {}
+    for size in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[size])
+        open_rooms = [r for r in sorted(rooms) if r >= size]
+        while left:
+            room = open_rooms[0] if open_rooms else capacity
+            own, n = rooms[room].pop() if open_rooms else ([], left)
+            each = min(room // size, left)
+            full = min(n, left // each)
+            if open_rooms:
+                if n > full:
+                    rooms[room].append((own, n - full))
+                if not rooms[room]:
+                    del rooms[room], open_rooms[0]
+            rooms.setdefault(room - each * size, []).append((own + [size] * each, full))
+            left -= full * each
+    return [x for group in rooms.values() for x in group]
+
+
+def _least_waste(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """As ``_best_fit``, by the filling of least waste around the largest length left, each as often as its lengths last."""
+    counts, out = counts.copy(), []
+    for size in range(capacity, 0, -1):
+        while counts[size]:
+            counts[size] -= 1
+            filling = [size, *complete(counts, capacity - size, size)]
+            counts[size] += 1
+            out.append((filling, _take(counts, filling)))
+    return out
+
+
+def _take(counts: np.ndarray, filling: list[int], most: int | None = None) -> int:
+    """Takes the filling out of ``counts`` as often as possible (``most`` times at most); how often."""
+    need = np.bincount(filling, minlength=len(counts))
+    used = np.flatnonzero(need)
+    times = int(min(counts[used] // need[used]))
+    times = times if most is None else min(times, most)
+    counts -= need * times
+    return times
+
+
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """No packing has fewer sequences: no two lengths over half share one, and those under a limit find only what these leave."""
+    lengths = np.arange(capacity + 1)
+    number, total, half = np.cumsum(counts), np.cumsum(counts * lengths), capacity // 2
+    best = -(-int(total[-1]) // capacity)
+    for least in range(1, half + 1):
+        large = int(number[-1] - number[capacity - least])
+        middle = int(number[capacity - least] - number[half])
+        left = middle * capacity - int(total[capacity - least] - total[half])
+        best = max(best, large + middle + max(0, -(-(int(total[half] - total[least - 1]) - left) // capacity)))
+    return best
+
+
+def _search(counts: np.ndarray, capacity: int, incumbent: list[tuple[list[int], int]], low: int) -> list[tuple[list[int], int]]:
+    """The incumbent, or a packing of fewer sequences found by branch and bound; ends at ``low`` sequences or after ``WORK`` steps.
+
+    A branch is a filling around the largest length left and how often it is used in a row, most first. What a state has
+    left fixes all that it can become, so a state reached again with no less waste is not searched again.
+    """
+    best, total, work = sum(n for _, n in incumbent), int(counts @ np.arange(capacity + 1)), WORK
+    seen: dict[bytes, int] = {}
+    path: list[tuple[list[int], int]] = []
+    levels: list[list] = [[counts.copy(), 0, None, 0]]  # what is left, waste so far, last filling, times still to try
+    while levels and best > low and work > 0:
+        left, waste, filling, times = levels[-1]
+        del path[len(levels) - 1 :]
+        size = int(np.flatnonzero(left)[-1])
+        room = capacity - size
+        allowed = (best - 1) * capacity - total - waste
+        rest = left.copy()
+        work -= int(np.count_nonzero(left)) + 1
+        if not times:
+            rest[size] -= 1
+            filling = _following(rest, room, size, filling, allowed)
+            while filling is not None and work > 0 and _dominated(rest, room, size, filling):
+                work -= int(np.count_nonzero(left)) + 1
+                filling = _following(rest, room, size, filling, allowed)
+            rest[size] += 1
+            spoilt = room - sum(filling) if filling is not None else 0
+            if filling is None or spoilt > allowed:
+                levels.pop()
+                continue
+            times = _take(rest, [size, *filling], allowed // spoilt if spoilt else None)
+        else:
+            spoilt = room - sum(filling)
+            if spoilt * times > allowed:
+                times = allowed // spoilt if allowed >= spoilt else 0
+            if not times:
+                levels[-1][3] = 0
+                continue
+            _take(rest, [size, *filling], times)
+        levels[-1][2:] = filling, times - 1
+        path.append(([size, *filling], times))
+        if not rest.any():
+            incumbent, best = list(path), sum(n for _, n in path)
+            continue
+        key = hashlib.blake2b(rest.tobytes(), digest_size=16).digest()
+        if seen.get(key, 1 << 62) > waste + spoilt * times:
+            seen[key] = waste + spoilt * times
+            levels.append([rest, waste + spoilt * times, None, 0])
+    return incumbent
+
+
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """[(length, rank from, rank to, first sequence, offset)] and the number of sequences."""
     counts = np.zeros(capacity + 1, np.int64)
     for size, n in histogram.items():
         counts[size] = n
+    number, low = (lambda packing: sum(n for _, n in packing)), lower_bound(counts, capacity)
+    chosen = min(_least_waste(counts, capacity), _best_fit(counts, capacity), key=number)
+    if number(chosen) > low:
+        chosen = _search(counts, capacity, chosen, low)
     taken, out, sequences = np.zeros(capacity + 1, np.int64), [], 0
-    for size in range(capacity, 0, -1):
-        while counts[size]:
-            counts[size] -= 1
-            filling = [size, *complete(counts, capacity - size, min(size, capacity - size))] if size < capacity else [size]
-            counts[size] += 1
-            need = np.bincount(filling, minlength=capacity + 1)
-            used = np.flatnonzero(need)
-            times = int(min(counts[used] // need[used]))
-            offset = 0
-            for length in filling:
-                out.append((length, int(taken[length]), int(taken[length]) + times, sequences, offset))
-                taken[length] += times
-                offset += length
-            counts[used] -= need[used] * times
-            sequences += times
+    for filling, times in chosen:
+        offset = 0
+        for length in filling:
+            out.append((length, int(taken[length]), int(taken[length]) + times, sequences, offset))
+            taken[length] += times
+            offset += length
+        sequences += times
     return out, sequences
 
 
