@@ -227,8 +227,8 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     rows = mixed.select("h", "salt", "bh", "body").repartition(parts(spark), "h", "salt").sortWithinPartitions("h", "salt")
     ranges = rows.mapInArrow(_arrays(length), "h long, bh long, a int, b int")
     whole = distinct.where("n > 1").select("h", "bh", F.lit(0).alias("a"), F.expr(f"cast(octet_length(body) - {length} as int)").alias("b"))
-    # Anchors with very many different stretches were split; what windows share across the splits is compared by window.
-    windows = mixed.where(f"kinds > {SPLIT}").select("h", "bh", "body", F.explode(F.expr(f"sequence(0, octet_length(body) - {length})")).alias("a"))
+    # Anchors with SPLIT different stretches or more were split; what windows share across the splits is compared by window.
+    windows = mixed.where(f"kinds >= {SPLIT}").select("h", "bh", "body", F.explode(F.expr(f"sequence(0, octet_length(body) - {length})")).alias("a"))
     windows = windows.select("h", "bh", "a", F.md5(F.expr(f"substring(body, a + 1, {length})")).alias("key"))
     shared = windows.groupBy("key").agg(F.min(F.struct("bh", "a")).alias("x"), F.max(F.struct("bh", "a")).alias("y")).where("x <> y").select("key")
     across = windows.join(shared, "key").select("h", "bh", "a", F.col("a").alias("b"))
