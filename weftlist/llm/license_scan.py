@@ -1,6 +1,6 @@
 """Licence scans by a trained paragraph classifier, in DataFrame operations only.
 
-Paragraphs (lines of a text) are classified by multinomial logistic regression over word 2- and 3-grams into
+Paragraphs (lines of a text, and the words around each line end between two lines with words) are classified by multinomial logistic regression over word 2- and 3-grams into
 licence families or ``unknown``. It is fitted on the driver to a bounded set: notices of each family with words dropped,
 swapped and surrounded by others, and, for ``unknown``, shuffled notices and prose. The temperature of
 the softmax is then set on further such paragraphs so that probabilities are calibrated. Scoring joins n-grams
@@ -35,6 +35,8 @@ NOTICES = {
 }
 FAMILIES = [*NOTICES, "unknown"]
 CONFIRM = 0.6
+#: Words taken on each side of a line end; more than any notice has.
+AROUND = 24
 #: Paragraphs made for each family to fit on.
 EXAMPLES = 120
 PROSE = "the of and to in is a that it as for was with on are by be this from at or an not but have they you which one all their has more if will about some than other into time only could new them man these then two first may any like now my such over our even most me made after also did many before must through back years where much your way well down should because each just those people how too little state good very make world still own see men work long here get both between life being under never day same another know while last might us great old year off come since against go came right used take three".split()
@@ -104,7 +106,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(doc_id, n_notices, families, notices) of every row.
 
     notices: (line from 0, family, probability, overlap, confirmed) of the lines whose likeliest class isn't
-    ``unknown``; families: the distinct confirmed ones in order of name. A line without any gram of a notice is unknown.
+    ``unknown``, and of the line ends (by the line before) that a confirmed notice runs over: it overlaps more than either
+    side alone does. A notice over several line ends is given once, at the first; none is given beside a line that
+    is confirmed for the family by itself. A line without words ends a paragraph. families: the distinct confirmed ones in order of name. A line without any gram of a notice is unknown.
     Null and empty texts have none. Rows that repeat an id and text are rows of their own with equal results.
     """
     spark = docs.sparkSession
@@ -121,19 +125,36 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     table = spark.sql(f"select xxhash64(g) as g, w, cast(o as array<string>) as o from values {body} as t(g, w, o)")
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    lines = rows.where("text is not null").select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    lines = fence(lines, "t", "regexp_extract_all(lower(s), '[a-z0-9.+/-]*[a-z0-9+]', 0)").drop("s").where("size(t) > 1")
-    lines = lines.select("doc_id", "th", "line", F.explode(F.expr("concat(transform(sequence(0, size(t) - 2), i -> xxhash64(concat(t[i], ' ', t[i + 1]))), if(size(t) < 3, cast(array() as array<bigint>), transform(sequence(0, size(t) - 3), i -> xxhash64(concat(t[i], ' ', t[i + 1], ' ', t[i + 2])))))")).alias("g"))
-    seen = lines.join(F.broadcast(table), "g").groupBy("doc_id", "th", "line", "g", "w", "o").agg(F.count("*").alias("c"))
-    sums = seen.groupBy("doc_id", "th", "line").agg(*[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(FAMILIES))], F.flatten(F.collect_list("o")).alias("o"))
+    texts = fence(rows.where("text is not null"), "_ls", "transform(split(lower(text), '\\n', -1), x -> regexp_extract_all(x, '[a-z0-9.+/-]*[a-z0-9+]', 0))").drop("text")
+    lines = texts.select("doc_id", "th", F.posexplode("_ls").alias("line", "t")).select("doc_id", "th", "line", F.lit(False).alias("wrapped"), "t", F.size("t").alias("n"))
+    # A line without words is a mark of its own, at which the words around a line end are cut off.
+    marked = fence(texts.where("size(_ls) > 1"), "_m", "transform(_ls, x -> if(size(x) = 0, array('\\n'), x))").drop("_ls")
+    ends = "filter(sequence(0, size(_m) - 2), i -> _m[i][0] <> '\\n' and _m[i + 1][0] <> '\\n')"
+    near = f"transform({ends}, i -> struct(i as line, slice(reverse(flatten(slice(_m, greatest(i + 2 - {AROUND}, 1), least(i + 1, {AROUND})))), 1, {AROUND}) as b, slice(flatten(slice(_m, i + 2, {AROUND})), 1, {AROUND}) as a))"
+    around = marked.select("doc_id", "th", F.explode(F.expr(near)).alias("x")).select("doc_id", "th", "x.line", "x.b", "x.a")
+    upto = lambda c: f"if(array_position({c}, '\\n') > 0, slice({c}, 1, cast(array_position({c}, '\\n') - 1 as int)), {c})"
+    around = around.select("doc_id", "th", "line", F.expr(f"reverse({upto('b')})").alias("b"), F.expr(upto("a")).alias("a"))
+    around = around.select("doc_id", "th", "line", F.lit(True).alias("wrapped"), F.concat("b", "a").alias("t"), F.size("b").alias("n"))
+    side = lambda k: f"if(i + {k} < n, 0, if(i >= n, 1, 2)) as side"
+    pairs = f"transform(sequence(0, size(t) - 2), i -> struct(xxhash64(concat(t[i], ' ', t[i + 1])) as g, {side(1)}))"
+    threes = f"transform(sequence(0, size(t) - 3), i -> struct(xxhash64(concat(t[i], ' ', t[i + 1], ' ', t[i + 2])) as g, {side(2)}))"
+    units = []
+    for unit in (lines, around):
+        unit = fence(unit.withColumnRenamed("t", "_t"), "t", F.col("_t")).drop("_t").where("size(t) > 1")
+        units.append(unit.select("doc_id", "th", "line", "wrapped", F.explode(F.expr(f"concat({pairs}, if(size(t) < 3, cast(array() as array<struct<g:bigint,side:int>>), {threes}))")).alias("x")).select("doc_id", "th", "line", "wrapped", "x.g", "x.side").join(F.broadcast(table), "g"))
+    seen = units[0].unionAll(units[1]).groupBy("doc_id", "th", "line", "wrapped", "g", "w", "o").agg(F.max(F.col("side") == 0).alias("in_before"), F.max(F.col("side") == 1).alias("in_after"))
+    sums = seen.groupBy("doc_id", "th", "line", "wrapped").agg(*[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(FAMILIES))], F.flatten(F.collect_list("o")).alias("o"), F.flatten(F.collect_list(F.when(F.col("in_before"), F.col("o")))).alias("before"), F.flatten(F.collect_list(F.when(F.col("in_after"), F.col("o")))).alias("after"))
     sums = sums.withColumn("z", F.array(*[F.col(f"z{i}") + bias[i] for i in range(len(FAMILIES))])).withColumn("top", F.array_max("z"))
     sums = sums.withColumn("label", F.expr("cast(array_position(z, top) - 1 as int)")).withColumn("probability", F.expr("1 / aggregate(z, 0D, (a, x) -> a + exp(x - top))"))
     names = "array(" + ", ".join(map(quote, FAMILIES)) + ")"
     totals = "map(" + ", ".join(f"{quote(k)}, {v}" for k, v in total.items()) + ")"
     sums = sums.where(f"label <> {len(FAMILIES) - 1}").withColumn("family", F.expr(f"{names}[label]"))
-    share = f"array_max(transform(filter(map_keys({totals}), k -> startswith(k, concat(family, ':'))), k -> size(filter(o, x -> x = k)) / {totals}[k]))"
-    found = sums.withColumn("overlap", F.expr(share)).withColumn("confirmed", F.expr(f"overlap >= {CONFIRM}"))
-    per = found.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("line", "family", "probability", "overlap", "confirmed"))).alias("notices"))
+    share = lambda c: f"array_max(transform(filter(map_keys({totals}), k -> startswith(k, concat(family, ':'))), k -> size(filter({c}, x -> x = k)) / {totals}[k]))"
+    found = sums.withColumn("overlap", F.expr(share("o"))).withColumn("confirmed", F.expr(f"overlap >= {CONFIRM}"))
+    found = found.where(f"not wrapped or (confirmed and overlap > greatest({share('before')}, {share('after')}))")
+    per = found.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("line", "family", "probability", "overlap", "confirmed", "wrapped"))).alias("all"))
+    beside = "exists(all, y -> y.confirmed and y.family = x.family and ((y.wrapped and y.line = x.line - 1) or (not y.wrapped and y.line - x.line in (0, 1))))"
+    per = per.select("doc_id", "th", F.expr(f"transform(filter(all, x -> not x.wrapped or not {beside}), x -> struct(x.line as line, x.family as family, x.probability as probability, x.overlap as overlap, x.confirmed as confirmed))").alias("notices"))
     per = per.withColumnsRenamed({"doc_id": "own_id", "th": "own_th"})
     out = rows.drop("text").join(per, F.expr("doc_id <=> own_id and th = own_th"), "left").select("doc_id", "notices")
     out = out.withColumn("notices", F.coalesce("notices", F.expr("cast(array() as array<struct<line:int,family:string,probability:double,overlap:double,confirmed:boolean>>)")))
