@@ -2,26 +2,24 @@
 
 Sets are the distinct word shingles of whole texts. Sizes fall into bands whose upper end is 4/3
 of the lower; sets of similarity 0.75 lie in the same band or in neighbouring ones, so every set
-joins the family of its band and that of the next. A family with largest size r splits the shingle
-domain into about r / 2 partitions. Two linked sets differ in at most k = (|A|+|B|)/7 shingles, so
-of the m non-empty partitions of A at least m - k hold exactly the same shingles in B: the hash of
-a partition's content is a signature, and with m > k one is shared for certain. (This is the
-enumeration of subsets with no second level: one subset, the whole partition, is the choice with
-the fewest signatures for sets that are large against k.) Shingles that very many documents have
-are left out of the partitions, which can only bring two sets closer. A set for which m > k fails,
-because it is mostly such shingles or by chance, also takes part in a split of all its shingles,
-failing there in a finer one, and at last in one with a partition for each shingle, where m > k
-always holds.
+joins the family of its band and that of the next. A family splits the shingle domain into
+partitions and each of these into three second-level ones. Two linked sets differ in at most
+k = (|A|+|B|)/7 shingles, and there are more than k / 2 partitions, so in some partition they differ in
+one shingle at most: there one subset of two second-level partitions holds exactly the same in both.
+The hashes of these subsets' contents are the signatures. How many of them a link must share follows
+from the set's own partitions (``signatures``). Shingles that very many documents have are left out
+of the partitions, which can only bring two sets closer. A set that this leaves without a certain
+signature also takes part in a split of all its shingles, failing there in a finer one, and at last in
+one with a partition for each shingle.
 
 Signatures travel as packed bytes, a row for each map block and bucket, and meet in buckets of
-bounded size. What meets there are candidates. A pair must share m - k signatures, not just one,
-which rules out chance meetings by a single frequent shingle; the others are checked on the whole
-sets. First each signature's documents are paired with its smallest one and the links joined into
-components; then pairs that share signatures across different components are checked.
-
-A signature of over ``HOT`` documents doesn't make candidates, except among documents that have so
-many of these that m - k no longer exceeds their number: those meet by hot signatures too, so
-nothing is lost.
+bounded size. A set that must share t signatures may leave out its t - 1 most frequent ones: of the
+signatures that two linked sets share, the rarest is still kept by both. What meets in the kept
+signatures forms a cluster around the member whose signatures are the most frequent, so the
+signatures of a group of near copies mostly name the same cluster. Members are compared with their
+cluster's centre on whole sets, and the links joined into components. Only in clusters that then hold
+several components the members outside the centre's component are compared with the others, in
+tiles of bounded size that give a spanning forest of the links found and no other pairs.
 """
 
 from __future__ import annotations
@@ -30,14 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlist.llm.components import components
 from weftlist.llm.tables import keep, only_ids, parts, plan_bytes
 from weftlist.llm.words import SPACED, U, Words, distinct_by_row, grams, mix, text_slices
 
-#: A signature shared by more documents than this gives a star first, and pairs only where needed.
+#: A signature of more documents than this is listed in runs and under its own name, not under its documents.
 HOT = 64
 #: Frequent shingles that signatures leave out, at most: 8 bytes each reach every task.
 COMMON = 250_000
@@ -46,6 +44,10 @@ COUNTED = 4_000_000
 BLOCK = 1_000_000
 #: Input bytes for each bucket of signatures.
 BUCKET_BYTES = 1 << 20
+#: Sets, and their elements, on each side of a tile; elements found more often than DENSE in a tile are counted by matrix product.
+TILE_SETS = 2048
+TILE_ELEMENTS = 2_000_000
+DENSE = 24
 #: Bytes of sets on each side of a cell of pairs, pairs of a cell, and elements compared at a time.
 CELL_BYTES = 16 << 20
 CELL_PAIRS = 1_000_000
@@ -75,26 +77,33 @@ def _set_keys(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return sums[0], sums[1]
 
 
-def _partitions(value, row, n1, family, level, rows):
-    """(signature, row) of the non-empty partitions of each row, and their number."""
+def _partitions(value, row, n1, k, family, level, rows):
+    """(signature, row) of the non-empty subsets of each row, and how many of them a set within distance k shares for certain."""
     offs = np.concatenate([[0], np.cumsum(n1)])
-    part = (value % n1[row].astype(U)).astype(np.int64)
-    slot = offs[row] + part
-    total = np.zeros(offs[-1], U)
+    slot = (offs[row] + (value % n1[row].astype(U)).astype(np.int64)) * 3 + ((value >> U(40)) % U(3)).astype(np.int64)
+    total = np.zeros(3 * offs[-1], U)
     np.add.at(total, slot, mix(value ^ _SALTS[2]))
-    full = np.zeros(offs[-1], bool)
+    full = np.zeros(3 * offs[-1], bool)
     full[slot] = True
-    at = np.flatnonzero(full)
-    owner = np.repeat(np.arange(rows), n1)[at]
-    tag = family[owner].astype(U) * U(0x9E3779B97F4A7C15) + U(level * 0x52DCE729) + (at - offs[owner]).astype(U)
-    return mix(total[at] ^ mix(tag)), owner, np.bincount(owner, minlength=rows)
-
-
-def signatures(value: np.ndarray, bounds: np.ndarray, common: np.ndarray, spread: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, row), and for each row the shared signatures to spare and whether a finer level was needed."""
+    total, full = total.reshape(-1, 3), full.reshape(-1, 3)
+    held = full.sum(1)
+    owner = np.repeat(np.arange(rows), n1)
+    tag = family[owner].astype(U) * U(0x9E3779B97F4A7C15) + U(level * 0x52DCE729) + (np.arange(len(owner)) - offs[owner]).astype(U)
+    # The subset without second-level partition j.
+    at, j = np.nonzero((held[:, None] - full) > 0)
+    sig = mix((total.sum(1, dtype=U)[at] - total[at, j]) ^ mix(tag[at] * U(3) + j.astype(U)))
+    # A difference costs a partition two subsets; the next one costs the third, if there is one.
+    some = np.bincount(owner[held > 0], minlength=rows)
+    three = np.bincount(owner[held > 1], minlength=rows)
+    certain = 2 * some + three - 2 * np.minimum(k, some) - np.minimum(np.maximum(k - some, 0), three)
+    return sig, owner[at], certain
+
+
+def signatures(value: np.ndarray, bounds: np.ndarray, common: np.ndarray, spread: float = 0.16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, row), and for each row how many a linked set shares for certain and whether a finer level was needed."""
     size = np.diff(bounds)
     sigs, owners = [], []
-    spare, deep = np.full(len(size), 2**30, np.int64), np.zeros(len(size), bool)
+    shared, deep = np.full(len(size), 2**30, np.int64), np.zeros(len(size), bool)
     band = np.searchsorted(UPPER, size)
     rare = np.ones(len(value), bool)
     if len(common):
@@ -114,19 +123,19 @@ def signatures(value: np.ndarray, bounds: np.ndarray, common: np.ndarray, spread
             use = active[owner_of] & rare if level == 0 else active[owner_of]
             v, local = value[use], place[owner_of[use]]
             if level < 3:
-                sig, owner, m = _partitions(v, local, n1 * 4 + 3 if level == 2 else n1, family, level, len(rows))
+                sig, owner, certain = _partitions(v, local, n1 * 4 + 3 if level == 2 else n1, k, family, level, len(rows))
             else:
-                sig, owner, m = mix(v ^ mix(family.astype(U) + U(1 << 40))[local]), local, n
+                sig, owner, certain = mix(v ^ mix(family.astype(U) + U(1 << 40))[local]), local, n - k
             sigs.append(sig)
             owners.append(rows[owner])
-            weak = m <= k
-            spare[rows[~weak]] = np.minimum(spare[rows[~weak]], (m - k - 1)[~weak])
+            weak = certain <= 0
+            shared[rows[~weak]] = np.minimum(shared[rows[~weak]], certain[~weak])
             deep[rows] |= level > 0
             active = np.zeros(len(size), bool)
             active[rows[weak]] = True
     if not sigs:
-        return np.zeros(0, U), np.zeros(0, np.int64), spare, deep
-    return np.concatenate(sigs), np.concatenate(owners), spare, deep
+        return np.zeros(0, U), np.zeros(0, np.int64), shared, deep
+    return np.concatenate(sigs), np.concatenate(owners), shared, deep
 
 
 def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
@@ -163,19 +172,19 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, width: int, common) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, spare, deep) of every document."""
+    """(doc_id, n_shingles, k1, k2, shared, deep) of every document."""
 
     def run(batches):
         for batch in batches:
             ids, out = batch.column(0).to_numpy(zero_copy_only=False), []
             for first, value, bounds in shingle_sets(batch.column(1), width):
                 k1, k2 = _set_keys(value, bounds)
-                _, _, spare, deep = signatures(value, bounds, common.value)
-                out.append((np.diff(bounds), k1.view(np.int64), k2.view(np.int64), spare, deep))
+                _, _, shared, deep = signatures(value, bounds, common.value)
+                out.append((np.diff(bounds), k1.view(np.int64), k2.view(np.int64), shared, deep))
             if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in zip(*out))], ["doc_id", "n_shingles", "k1", "k2", "spare", "deep"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in zip(*out))], ["doc_id", "n_shingles", "k1", "k2", "shared", "deep"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, spare long, deep boolean")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, shared long, deep boolean")
 
 
 def _pack(sigs: list, docs: list, buckets: int) -> pa.RecordBatch:
@@ -237,7 +246,7 @@ def _meet(table: pa.Table) -> pa.Table:
     sig, doc = sig[order], doc[order]
     cut = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
     length = np.diff(np.append(cut, len(sig)))
-    out_sig, out_ids, out_weight, known = [], [], [], {}
+    out_sig, out_ids, out_weight, out_size, known = [], [], [], [], {}
     for a, n in zip(cut[length > 1], length[length > 1]):
         ids = np.unique(doc[a : a + n])
         if len(ids) < 2:
@@ -249,13 +258,15 @@ def _meet(table: pa.Table) -> pa.Table:
                 out_sig.append(None)
                 out_ids.append(ids)
                 out_weight.append(0)
+                out_size.append(len(ids))
             out_weight[known[key]] += 1
             continue
         for i in range(1, len(ids), 1000):
             out_sig.append(int(sig[a : a + 1].view(np.int64)[0]))
             out_ids.append(np.append(ids[:1], ids[i : i + 1000]))
             out_weight.append(1)
-    return pa.table({"hot": pa.array(out_sig, pa.int64()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(out_sig), pa.int32()), "ids": pa.array(out_ids, pa.list_(pa.int64())), "weight": pa.array(out_weight, pa.int64())})
+            out_size.append(len(ids))
+    return pa.table({"hot": pa.array(out_sig, pa.int64()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(out_sig), pa.int32()), "ids": pa.array(out_ids, pa.list_(pa.int64())), "weight": pa.array(out_weight, pa.int64()), "size": pa.array(out_size, pa.int64())})
 
 
 def similar(value: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -297,14 +308,8 @@ def _compare(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int = 75) -> DataFrame:
-    """The pairs (a, b) of documents whose whole shingle sets are similar enough.
-
-    Pairs are dealt into cells by the hashes of both documents, and a set goes once to each cell that has a pair
-    of it, so the members of a large group are not sent once for every partner.
-    """
-    spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def set_rows(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, grams) of the documents in ``ids``: the set as packed 64-bit hashes, ascending."""
 
     def sets(batches):
         for batch in batches:
@@ -312,19 +317,123 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int = 75) -
                 held = pa.array([value[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(held)), held], ["doc_id", "grams"])
 
-    grams_of = keep(only_ids(docs, ids).mapInArrow(sets, "doc_id long, grams binary"), "grams")
-    side = max(parts(spark) ** 0.5, plan_bytes(grams_of) / CELL_BYTES, (pairs.count() / CELL_PAIRS) ** 0.5)
+    return keep(only_ids(docs, ids).mapInArrow(sets, "doc_id long, grams binary").dropDuplicates(["doc_id"]), "grams")
+
+
+def verified(pairs: DataFrame, grams_of: DataFrame, percent: int = 75) -> DataFrame:
+    """The pairs (a, b) of documents whose whole shingle sets are similar enough.
+
+    Pairs are dealt into cells by the hashes of both documents, and a set goes once to each cell that has a pair
+    of it, so the members of a large group are not sent once for every partner.
+    """
+    side = max(parts(pairs.sparkSession) ** 0.5, plan_bytes(grams_of) / CELL_BYTES, (pairs.count() / CELL_PAIRS) ** 0.5)
     side = int(-(-side // 1))
     cells = pairs.select(F.expr(f"pmod(xxhash64(a), {side}) * {side} + pmod(xxhash64(b), {side})").alias("cell"), "a", "b")
     wanted = cells.select("cell", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    placed = wanted.join(grams_of.dropDuplicates(["doc_id"]), "doc_id").select(F.col("cell").alias("at"), "doc_id", "grams")
+    placed = wanted.join(grams_of, "doc_id").select(F.col("cell").alias("at"), "doc_id", "grams")
     return keep(cells.groupBy("cell").cogroup(placed.groupBy("at")).applyInArrow(_compare(percent), "a long, b long"), "links")
 
 
-#: The signatures that a link's two documents share at least, of those that both bring: the one without a finer level vouches for the pair.
-NEED = """if(lean_a and lean_b,
-    if(deep_a and deep_b, least(full_a, full_b), if(deep_a, full_b, if(deep_b, full_a, greatest(full_a, full_b)))),
-    greatest(cold_a, cold_b))"""
+def shared_counts(value: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many elements each set of ``left`` shares with each of ``right``, both lists of set numbers."""
+    size = np.diff(bounds)
+    code, times = np.unique(value, return_inverse=True, return_counts=True)[1:]
+    owner = np.repeat(np.arange(len(size)), size)
+    place = np.full((2, len(size)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    dense = np.flatnonzero(times > DENSE)
+    number = np.full(len(times), -1)
+    number[dense] = np.arange(len(dense))
+    column = number[code]
+    for low in range(0, len(dense), 2048):
+        use = (column >= low) & (column < low + 2048)
+        sides = []
+        for p, n in zip(place, out.shape):
+            own = use & (p[owner] >= 0)
+            m = np.zeros((n, min(2048, len(dense) - low)), np.float32)
+            m[p[owner[own]], column[own] - low] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    seldom = np.flatnonzero((column < 0) & (times[code] > 1))
+    seldom = seldom[np.argsort(code[seldom], kind="stable")]
+    c, o = code[seldom], owner[seldom]
+    for step in range(1, DENSE):
+        same = np.flatnonzero(c[step:] == c[:-step])
+        if not len(same):
+            break
+        for x, y in ((o[same], o[same + step]), (o[same + step], o[same])):
+            i, j = place[0, x], place[1, y]
+            both = (i >= 0) & (j >= 0)
+            np.add.at(out.ravel(), i[both] * len(right) + j[both], np.float32(1))
+    return out
+
+
+def forest(good: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Links out of the matrix ``good`` that join what it joins of the labelled sets, none within a label."""
+    label, out = label.copy(), []
+    while True:
+        good &= label[left][:, None] != label[right][None, :]
+        some = np.flatnonzero(good.any(1))
+        if not len(some):
+            return out
+        for i, j in zip(left[some], right[good[some].argmax(1)]):
+            if label[i] != label[j]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+
+
+def _tiles(percent: int):
+    """Rows arrive by tile; a tile's links between components are found in one matrix of shared counts."""
+
+    def links(held):
+        first, second = np.array([x[3] for x in held]), np.array([x[4] for x in held])
+        size = np.array([len(x[2]) // 8 for x in held])
+        value = np.frombuffer(b"".join(x[2] for x in held), np.int64)
+        left, right = np.flatnonzero(first), np.flatnonzero(second)
+        shared = shared_counts(value, np.concatenate([[0], np.cumsum(size)]), left, right)
+        good = 100 * shared >= percent * (size[left][:, None] + size[right][None, :] - shared)
+        label = np.unique(np.array([x[1] for x in held]), return_inverse=True)[1]
+        return [(held[i][0], held[j][0]) for i, j in forest(good, left, right, label)]
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            out = []
+            for tile, rep, component, grams, first, second in zip(*(batch.column(c).to_pylist() for c in ("tile", "rep", "component", "grams", "first", "second"))):
+                if tile != last and held:
+                    out += links(held)
+                    held = []
+                last = tile
+                held.append((rep, component, grams, first, second))
+            yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [y for _, y in out]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        if held:
+            out = links(held)
+            yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [y for _, y in out]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return run
+
+
+def tiled_links(rows: DataFrame, grams_of: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of each cluster, from rows (c, rep, n, component, main); ``main`` is the component of c.
+
+    Members outside the main component are dealt into blocks, and so are those inside; a tile takes two of the
+    outer blocks, or an outer and an inner one.
+    """
+    blocks = f"int(ceil(greatest(count_if({{0}}) / {TILE_SETS}, sum(if({{0}}, n, 0)) / {TILE_ELEMENTS})))"
+    sizes = rows.groupBy("c").agg(F.expr(blocks.format("component <> main")).alias("nl"), F.expr(blocks.format("component = main")).alias("nm")).where("nl > 0")
+    rows = rows.join(sizes, "c").withColumn("outer", F.expr("component <> main"))
+    rows = rows.withColumn("block", F.expr("int(pmod(xxhash64(rep, 7), if(outer, nl, nm)))"))
+    rows = rows.withColumn("x", F.explode(F.expr("if(outer, sequence(0, nl + nm - 1), sequence(0, nl - 1))")))
+    rows = rows.select("rep", "component", F.expr("""case
+        when not outer then struct(c, true as inner, x as i, block as j)
+        when x < nl then struct(c, false as inner, least(block, x) as i, greatest(block, x) as j)
+        else struct(c, true as inner, block as i, x - nl as j) end""").alias("t"), "outer", "block")
+    rows = rows.select(F.expr("xxhash64(t.c, t.inner, t.i, t.j)").alias("tile"), "rep", "component", F.expr("outer and (t.inner or block = t.i)").alias("first"), F.expr("if(t.inner, not outer, block = t.j)").alias("second"))
+    rows = rows.join(grams_of.withColumnRenamed("doc_id", "rep"), "rep")
+    spark = rows.sparkSession
+    rows = rows.repartition(parts(spark), "tile").sortWithinPartitions("tile")
+    return keep(rows.mapInArrow(_tiles(percent), "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -333,9 +442,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Words are runs of bytes other than ASCII white space, with A-Z lower-cased. A text of fewer words
     than ``width`` is one shingle; a null or blank text has none, links with nothing and is its own
     component. Two documents link when 100 * intersection >= percent * union; component_id is the
-    smallest id reachable. Repeated rows give repeated results; rows of a null id are returned with
-    a null component. ``percent`` must be at least 75, for which the bands are laid out. Other
-    columns of ``docs`` are ignored.
+    smallest id reachable. Repeated rows give repeated results; of rows that share an id but not the text,
+    one text stands for the id; rows of a null id are returned with a null component. ``percent`` must be at
+    least 75, for which the bands are laid out. Other columns of ``docs`` are ignored.
     """
     if percent < 75:
         raise ValueError("the size bands hold for a similarity of 0.75 or more")
@@ -349,39 +458,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     buckets = max(parts(spark), -(-plan_bytes(docs) // BUCKET_BYTES))
     packed = docs.where("doc_id is not null").mapInArrow(_emit(width, buckets, common), "bucket int, sigs binary, docs binary")
-    met = packed.groupBy("bucket").applyInArrow(_meet, "hot long, bucket int, ids array<long>, weight long")
+    met = packed.groupBy("bucket").applyInArrow(_meet, "hot long, bucket int, ids array<long>, weight long, size long")
     met = keep(met, "met")
 
-    # Members of each group, with what their pairs must share; hot groups only for those that need them.
-    hot = met.where("hot is not null").select("hot", "bucket", F.explode("ids").alias("doc_id")).distinct()
-    held = hot.groupBy("doc_id").agg(F.count("*").alias("h"))
-    sets = named.select("doc_id", F.col("n_shingles").alias("n"), "spare", "deep").distinct().join(held, "doc_id", "left").join(copies, "doc_id", "left")
-    sets = sets.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n", "deep", F.expr("spare + 1").alias("full"), F.expr("if(deep, 1, greatest(1, spare + 1 - coalesce(h, 0)))").alias("cold"), F.expr("if(deep, coalesce(h, 0) > 0, coalesce(h, 0) > spare)").alias("lean"))
-    groups = met.where("hot is null").groupBy("ids").agg(F.sum("weight").alias("w")).select(F.xxhash64("ids").alias("g"), F.explode("ids").alias("doc_id"), "w", F.lit(False).alias("hot"))
-    groups = groups.unionAll(hot.select(F.xxhash64("hot", "bucket", F.lit("hot")), "doc_id", F.lit(1).cast("long"), F.lit(True)))
-    members = keep(groups.join(sets, "doc_id").where("lean or not hot").groupBy("g", "rep", "n", "deep", "full", "cold", "lean", "hot").agg(F.max("w").alias("w")), "members")
-
-    def near(x: DataFrame, y: DataFrame, where: str) -> DataFrame:
-        """Pairs of two member tables that share as many signatures as a link must."""
-        x, y = (t.select("g", "hot", "w", *[F.col(c).alias(c + i) for c in t.columns if c not in ("g", "hot", "w", "size")]) for t, i in ((x, "_a"), (y, "_b")))
-        pairs = x.drop("w").join(y, ["g", "hot"]).where(f"{where} and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        pairs = pairs.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.sum("w").alias("w"), F.max(F.expr(NEED)).alias("need"))
-        return pairs.where("w >= need").select("a", "b")
-
-    centre = members.groupBy("g", "hot").agg(F.min(F.struct("rep", "n", "deep", "full", "cold", "lean", "w")).alias("c")).select("g", "hot", "c.*")
-    stars = keep(near(centre, members, "rep_a < rep_b"), "pairs")
-    links = verified(stars, docs, width, percent)
-
-    def placed() -> DataFrame:
-        """Members, with their components so far, of the groups that hold several components."""
-        reached = components(links).select(F.col("id").alias("rep"), "component")
-        rows = keep(members.join(reached, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
-        mixed = rows.groupBy("g", "hot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("g", "hot", "size")
-        return rows.join(mixed, ["g", "hot"])
-
-    rows = placed()
-    rest = keep(near(rows, rows, "rep_a < rep_b and component_a <> component_b").join(stars, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionAll(verified(rest, docs, width, percent))
-    linked = components(links)
-    out = info.select("doc_id", "n_shingles").join(copies.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    # Documents by signature; signatures of the very same documents are one group of greater weight.
+    sets = named.groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.min(F.expr("if(deep, 1, shared)")).alias("need")).join(copies.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    groups = met.where("hot is null").groupBy("ids").agg(F.sum("weight").alias("w"), F.max("size").alias("size")).select(F.xxhash64("ids").alias("g"), F.explode("ids").alias("doc_id"), "w", "size")
+    groups = groups.unionAll(met.where("hot is not null").select(F.xxhash64("hot", "bucket", F.lit("hot")), F.explode("ids"), F.lit(1).cast("long"), "size").distinct())
+    members = groups.join(sets, "doc_id").groupBy("rep", "g").agg(F.max("w").alias("w"), F.max("size").alias("size"), F.min("need").alias("need"), F.max("n").alias("n"))
+    own = Window.partitionBy("rep")
+    members = members.withColumn("seen", F.sum("w").over(own.orderBy(F.desc("size"), "g"))).withColumn("held", F.sum("w").over(own)).withColumn("height", F.sum(F.col("w") * F.col("size")).over(own))
+    members = keep(members.where("held >= need and seen >= need").select("g", "rep", "n", "height"), "members")
+    centre = members.groupBy("g").agg(F.max(F.struct("height", "rep", "n")).alias("c"), F.count("*").alias("size")).where("size > 1")
+    clusters = members.join(centre, "g").groupBy(F.col("c.rep").alias("c"), "rep").agg(F.max("n").alias("n"), F.max("c.n").alias("n_c"))
+    clusters = keep(clusters, "clusters")
+
+    grams_of = set_rows(docs, clusters.select(F.col("rep").alias("doc_id")).distinct(), width)
+    links = verified(clusters.where(f"rep <> c and 100 * least(n, n_c) >= {percent} * greatest(n, n_c)").select(F.col("c").alias("a"), F.col("rep").alias("b")), grams_of, percent)
+    reached = components(links)
+    at = reached.select(F.col("id").alias("rep"), "component")
+    main = reached.select(F.col("id").alias("c"), F.col("component").alias("main"))
+    rows = clusters.join(at, "rep", "left").join(main, "c", "left").select("c", "rep", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("main", "c").alias("main"))
+    linked = components(links.unionAll(tiled_links(keep(rows, "placed"), grams_of, percent)))
+    out = info.select("doc_id", "n_shingles").join(copies.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     return out.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
