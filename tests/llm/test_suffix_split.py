@@ -1,4 +1,4 @@
-"""Anchors whose stretches are dealt to several suffix arrays, at and around the switch."""
+"""Anchors with more stretches than an array takes, periodic and wordless text, copies, and an empty table, against brute force."""
 
 import random
 
@@ -8,24 +8,63 @@ import pytest
 from weftlist.llm import suffix_dedup
 
 
-@pytest.mark.parametrize("split", [2, 3, 4])
-def test_split(spark, monkeypatch, split):
-    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
+def gone_bytes(texts, length=200):
+    data, seen = [(t or "").encode() for t in texts], {}
+    for i, b in enumerate(data):
+        for j in range(len(b) - length + 1):
+            seen.setdefault(b[j : j + length], []).append((i, j))
+    out = []
+    for b in data:
+        gone = np.zeros(len(b), bool)
+        for j in range(len(b) - length + 1):
+            if len(seen[b[j : j + length]]) > 1:
+                gone[j : j + length] = True
+        out.append(gone)
+    return data, out
+
+
+def check(spark, texts, split=suffix_dedup.SPLIT, ids=None):
+    data, gone = gone_bytes(texts)
+    ids = ids or list(range(len(texts)))
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    want = sorted((i if i is not None else -1, np.frombuffer(b, np.uint8)[~g].tobytes(), len(b), int(g.sum()), int((np.diff(g.astype(int), prepend=0) == 1).sum())) for i, b, g in zip(ids, data, gone))
+    got = sorted((r.doc_id if r.doc_id is not None else -1, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs, split=split).collect())
+    assert got == want
+
+
+@pytest.mark.parametrize("split", [2, 3, 4, 1000])
+def test_split(spark, split):
     rng = random.Random(11)
     prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     texts = []
-    for _ in range(12):  # passages that 3 texts share: 3 different stretches around each end
+    for _ in range(6):  # passages that some texts share: as many different stretches around each end
         passage = prose(300)
-        texts += [prose(250) + passage + prose(250) for _ in range(3)]
-    seen = {}
-    for i, t in enumerate(texts):
-        for j in range(len(t) - 199):
-            seen.setdefault(t[j : j + 200], []).append((i, j))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    for r in suffix_dedup.remove_repeats(docs).collect():
-        t = texts[r.doc_id]
-        gone = np.zeros(len(t), bool)
-        for j in range(len(t) - 199):
-            if len(seen[t[j : j + 200]]) > 1:
-                gone[j : j + 200] = True
-        assert bytes(r.kept) == "".join(x for x, g in zip(t, gone) if not g).encode() and r.n_removed == gone.sum()
+        texts += [prose(150) + passage + prose(150) for _ in range(4)]
+    passage = prose(600)
+    for _ in range(12):  # near copies
+        t = list(passage)
+        for _ in range(3):
+            t[rng.randrange(600)] = "z"
+        texts.append("".join(t))
+    check(spark, texts, split)
+
+
+def test_periods_and_edges(spark):
+    rng = random.Random(2)
+    word = "".join(rng.choice("abcdef") for _ in range(700))
+    texts = ["-" * 3000, "ab" * 400 + "end", "x" + "-" * 200, "-" * 199, "=- " * 300, word, "q" + word[100:500] + "r", "long " + word[:90] + " " + word[:90] + " tail " * 60]
+    texts += [None, "", "é" * 150, "é" * 150 + "!", "same " * 50 + word, "same " * 50 + word, "\x00" * 250 + "z", " " * 450]
+    check(spark, texts)
+    check(spark, texts, 2)
+    check(spark, [*texts[:6], word, word, "other " + word], ids=[1, 2, 2, 3, 3, 4, None, None, None])
+    assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string, spans int, th int, own string")).count() == 0
+
+
+def test_constant_text_has_few_stretches():
+    data = np.frombuffer(b"-" * 20_000, np.uint8)
+    s = suffix_dedup.Stretches(data, np.array([0, len(data)]), 200)
+    assert len(s.row) < 300
+    covered = np.zeros(len(data), bool)
+    for a, b in zip(s.own[1], s.own[2]):
+        covered[a : b + 200] = True
+    assert covered.all()

@@ -2,62 +2,116 @@
 
 Every ``length``-byte window has an anchor, the smallest hashed k-gram in it, which depends on its content
 alone: equal windows have equal anchors. Consecutive windows with one anchor form a stretch. Stretches
-whose anchor occurs once anywhere are done with; the others meet by anchor, equal ones as one with
-a count. Their suffix array is built by linear grouping: suffixes are grouped by their
+whose anchor occurs once anywhere are done with; of the others each different one is taken once, and those
+of an anchor go into one suffix array. It is built by linear grouping: suffixes are grouped by their
 longest Lyndon prefix, groups being taken in descending order and handing their prefix on to the
 previous smaller suffix, and then each group's order is emitted from the order of the suffixes that
-follow the prefixes, without renaming or recursion. Neighbours in the array that share ``length``
-bytes are repeats.
+follow the prefixes, without renaming or recursion.
+
+The array's symbols are words with the white space after them. These are prefix-free, so the order of their
+suffixes is the order of the bytes. A window belongs to the suffix after the first end of a word in it: among
+windows with equal bytes before that, equal windows are neighbours in the array. Neighbours are compared
+byte by byte. Where a word is longer than ``LONG`` bytes the symbols are single bytes.
+
+An anchor with more than ``SPLIT`` different stretches is split by what its windows have in common: those that
+begin within a given range before the anchor share the bytes around it, and only stretches that agree in these
+meet in an array, cut to the windows of the range. What is still too large is split by narrower ranges, down to
+single windows. So no array grows with the number of copies, and every two equal windows still meet.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlist.llm.contamination import merge
-from weftlist.llm.tables import BROADCAST_IDS, keep, parts
-from weftlist.llm.words import _BYTE, U, _powers, mix, text_slices
+from weftlist.llm.tables import BROADCAST_IDS, keep, only_ids, parts
+from weftlist.llm.words import _BYTE, _SALT, U, _powers, mix, text_slices
 
 GRAM = 32
-#: Bytes that a suffix array holds, and distinct stretches of one anchor that go into one array; more are split and compared across splits by window.
+#: Bytes that a suffix array holds; different stretches of an anchor that meet in one array, and the ranges that more are split by.
 ARRAY_BYTES = 1 << 20
-SPLIT = 3000
+SPLIT = 1000
+RANGES = (21, 3, 1)
+#: Longest word that is one symbol, and how far apart equal anchors are taken for a period.
+LONG = 64
 
+_WORD = re.compile(rb"[^\x00-\x20]*[\x00-\x20]|[^\x00-\x20]+")
+_KEY = "doc_id long, th long"
 
-def window_hashes(data: np.ndarray, k: int) -> np.ndarray:
+
+def _hash_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     power, inverse = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, U)
     np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+    return sums, inverse
+
+
+def span_hashes(sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans, of their length too."""
+    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U) * _SALT[62])
+
+
+def window_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    sums, inverse = _hash_sums(data)
     return mix((sums[k:] - sums[:-k]) * inverse[: len(data) - k + 1]) if len(data) >= k else np.zeros(0, U)
 
 
-def stretches(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first window, last window, anchor hash), windows counted from the row's start."""
-    w = length - GRAM + 1
-    hashes = window_hashes(data, GRAM)
-    n = len(hashes)
-    if n < w:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),)
-    mask = U((1 << 31) - 1)  # one mask for all slices, so that equal windows agree wherever they lie
-    value = (hashes & ~mask) | np.arange(n, dtype=U)
-    padded = np.full(-(-n // w) * w, ~U(0))
-    padded[:n] = value
-    block = padded.reshape(-1, w)
-    ahead = np.minimum.accumulate(block, 1).ravel()
-    back = np.minimum.accumulate(block[:, ::-1], 1)[:, ::-1].ravel()
-    anchor = (np.minimum(back[: n - w + 1], ahead[w - 1 : n]) & mask).astype(np.int64)
-    row = np.repeat(np.arange(len(offs) - 1), np.maximum(np.diff(offs) - length + 1, 0))
-    start = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(offs[:-1], offs[1:]) if b - a >= length] or [np.zeros(0, np.int64)])
-    if not len(start):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),)
-    at = anchor[start]
-    new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])))
-    last = np.append(new[1:], len(start)) - 1
-    base = offs[:-1][row[new]]
-    return row[new], start[new] - base, start[last] - base, hashes[at[new]]
+class Stretches:
+    """The stretches of some texts: ``row``, first and last window ``low`` and ``high`` counted from the row's start, hashes
+    ``anchor`` and ``body``; and in ``own`` (row, low, high) of windows that equal one at most LONG bytes before or behind them.
+
+    A stretch of which every window equals an earlier one at the distance of the last anchor is left out, so a periodic
+    text gives a few stretches and not one for each period.
+    """
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, length: int):
+        empty = np.zeros(0, np.int64)
+        self.row, self.low, self.high, self.anchor, self.body, self.own = empty, empty, empty, np.zeros(0, U), np.zeros(0, U), (empty,) * 3
+        w = length - GRAM + 1
+        hashes = window_hashes(data, GRAM)
+        n = len(hashes)
+        row = np.repeat(np.arange(len(offs) - 1), np.maximum(np.diff(offs) - length + 1, 0))
+        if n < w or not len(row):
+            return
+        mask = U((1 << 31) - 1)  # one mask for all slices, so that equal windows agree wherever they lie
+        value = (hashes & ~mask) | np.arange(n, dtype=U)
+        padded = np.full(-(-n // w) * w, ~U(0))
+        padded[:n] = value
+        block = padded.reshape(-1, w)
+        ahead = np.minimum.accumulate(block, 1).ravel()
+        back = np.minimum.accumulate(block[:, ::-1], 1)[:, ::-1].ravel()
+        anchor = (np.minimum(back[: n - w + 1], ahead[w - 1 : n]) & mask).astype(np.int64)
+        start = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(offs[:-1], offs[1:]) if b - a >= length])
+        at = anchor[start]
+        new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])))
+        low, high = start[new], start[np.append(new[1:], len(start)) - 1]
+        row, at = row[new], at[new]
+        sums, inverse = _hash_sums(data)
+        step = np.diff(at, prepend=at[0])
+        again = np.flatnonzero((np.diff(row, prepend=-1) == 0) & (step > 0) & (step <= LONG) & (hashes[at] == np.roll(hashes[at], 1)))
+        keep_it = np.ones(len(row), bool)
+        if len(again):
+            count = high[again] - low[again] + 1
+            first = np.concatenate([[0], np.cumsum(count)[:-1]])
+            windows = np.repeat(low[again] - first, count) + np.arange(count.sum())
+            back_to = windows - np.repeat(step[again], count)
+            same = back_to >= np.repeat(offs[:-1][row[again]], count)
+            same[same] = span_hashes(sums, inverse, windows[same], windows[same] + length) == span_hashes(sums, inverse, back_to[same], back_to[same] + length)
+            keep_it[again[np.logical_and.reduceat(same, first)]] = False
+            marked = np.zeros(len(data) + 2, np.int8)
+            marked[windows[same] + 1] = marked[back_to[same] + 1] = 1
+            edge = np.flatnonzero(np.diff(marked))
+            a, b = edge[::2], edge[1::2] - 1
+            of = np.searchsorted(offs, a, "right") - 1
+            self.own = of, a - offs[of], b - offs[of]
+        row, low, high, at = row[keep_it], low[keep_it], high[keep_it], at[keep_it]
+        self.row, self.anchor, self.body = row, hashes[at], span_hashes(sums, inverse, low, high + length)
+        self.low, self.high = low - offs[row], high - offs[row]
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -134,34 +188,66 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def repeats(bodies: list[bytes], length: int) -> list[np.ndarray]:
-    """For each of some byte strings, which of its windows occur at another place in them."""
-    ends = np.cumsum([len(b) + 1 for b in bodies])
-    starts = ends - [len(b) + 1 for b in bodies]
-    joined = np.zeros(int(ends[-1]), np.int64)
-    for b, s in zip(bodies, starts):
-        joined[s : s + len(b)] = np.frombuffer(b, np.uint8).astype(np.int64) + 1
-    order = np.array(suffix_array(joined.tolist()), np.int64)
-    valid = np.zeros(len(joined), bool)
+def _symbols(bodies: list[bytes], words: bool) -> tuple[list[int], np.ndarray]:
+    """The bodies' symbols by ascending rank, an end symbol 0 after each body, and where in the joined bytes each symbol starts."""
+    split = [_WORD.findall(b) for b in bodies] if words else [[b[i : i + 1] for i in range(len(b))] for b in bodies]
+    rank = {token: i + 1 for i, token in enumerate(sorted(set().union(*split)))}
+    symbols = [r for tokens in split for r in (*map(rank.__getitem__, tokens), 0)]
+    lengths = np.array([n for tokens in split for n in (*map(len, tokens), 0)])
+    return symbols, np.concatenate([[0], np.cumsum(lengths)[:-1]])
+
+
+def one_word_per_symbol(bodies: list[bytes]) -> bool:
+    return all(len(max(_WORD.findall(b), key=len, default=b"")) <= LONG for b in bodies)
+
+
+def repeats(bodies: list[bytes], length: int, words: bool) -> list[np.ndarray]:
+    """For each of some byte strings, which of its windows occur at another place in them. With ``words`` no word is over LONG bytes."""
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    ends = np.cumsum([len(b) for b in bodies])
+    starts = ends - [len(b) for b in bodies]
+    symbols, place = _symbols(bodies, words)
+    rank = np.zeros(len(data) + 1, np.int64)
+    order = np.array(suffix_array(symbols), np.int64)
+    order = order[np.array(symbols)[order] > 0]
+    rank[place[order]] = np.arange(len(order))
+    first = place[np.array(symbols) > 0]
+    valid = np.zeros(len(data) + 1, np.int8)
     for b, s in zip(bodies, starts):
-        valid[s : s + len(b) - length + 1] = True
-    order = order[valid[order]]
-    view = np.lib.stride_tricks.sliding_window_view(joined.astype(np.uint8 if joined.max() < 256 else np.uint16), length)
-    same = np.zeros(max(len(order) - 1, 0), bool)
-    for a in range(0, len(same), 4096):
-        same[a : a + 4096] = (view[order[a : a + 4096 + 1][: len(same[a : a + 4096])]] == view[order[a + 1 : a + 4097]]).all(1)
-    found = np.zeros(len(joined), bool)
-    found[order[:-1][same]] = found[order[1:][same]] = True
-    return [found[s : s + len(b) - length + 1] for b, s in zip(bodies, starts)]
+        valid[s : s + max(len(b) - length + 1, 0)] = 1
+    window = np.flatnonzero(valid)
+    suffix = window
+    if words and len(window):  # after the first end of a word in the window, which its own bytes tell
+        first = np.setdiff1d(first, starts)
+        suffix = first[np.searchsorted(first, window, "right")]
+    before = span_hashes(*_hash_sums(data), window, suffix)
+    by = np.lexsort((rank[suffix], before))
+    x, y = window[by[:-1]], window[by[1:]]
+    near = np.flatnonzero(before[by[:-1]] == before[by[1:]])
+    view = np.lib.stride_tricks.sliding_window_view(data, length) if len(data) >= length else np.zeros((0, length), np.uint8)
+    for at in (length - 1, length // 2, length * 3 // 4):  # most neighbours that differ do so here
+        near = near[data[x[near] + at] == data[y[near] + at]]
+    found = np.zeros(len(data), bool)
+    for low in range(0, len(near), 4096):
+        some = near[low : low + 4096]
+        some = some[(view[x[some]] == view[y[some]]).all(1)]
+        found[x[some]] = found[y[some]] = True
+    return [found[s : s + max(len(b) - length + 1, 0)] for b, s in zip(bodies, starts)]
 
 
 def _stretch_rows(length: int):
     def run(batches):
         for batch in batches:
             for first, end, data, offs in text_slices(batch.column("text")):
-                row, low, high, anchor = stretches(data, offs, length)
+                s = Stretches(data, offs, length)
+                row = np.concatenate([s.row, s.own[0]])
                 pick = pa.array(first + row)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column("doc_id").take(pick), batch.column("th").take(pick), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["h", "doc_id", "th", "low", "high"])
+                pad = np.zeros(len(s.own[0]), U)
+                # Windows found already carry their row in place of an anchor.
+                h = np.concatenate([s.anchor, mix((first + s.own[0]).astype(U) + pad)]).view(np.int64)
+                columns = [pa.array(h), pa.array(np.concatenate([s.body, pad]).view(np.int64)), batch.column("doc_id").take(pick), batch.column("th").take(pick)]
+                columns += [pa.array(np.concatenate(x).astype(np.int32)) for x in ((s.low, s.own[1]), (s.high, s.own[2]))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(len(row)) >= len(s.row))], ["h", "bh", "doc_id", "th", "low", "high", "own"])
 
     return run
 
@@ -169,13 +255,13 @@ def _stretch_rows(length: int):
 def _bodies(length: int):
     def run(batches):
         for batch in batches:
-            rows = {k: [] for k in ("h", "body", "doc_id", "th", "low")}
-            for text, doc, th, own in zip(*(batch.column(c).to_pylist() for c in ("text", "doc_id", "th", "own"))):
+            rows = {k: [] for k in ("g", "k", "body")}
+            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
                 data = text.encode()
-                for x in own:
-                    for name, v in zip(rows, (x["h"], data[x["low"] : x["high"] + length], doc, th, x["low"])):
+                for x in wanted:
+                    for name, v in zip(rows, (x["h"], x["bh"], data[x["low"] : x["high"] + length])):
                         rows[name].append(v)
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([("h", pa.int64()), ("body", pa.binary()), ("doc_id", pa.int64()), ("th", pa.int64()), ("low", pa.int32())]))
+            yield pa.RecordBatch.from_pydict(rows, pa.schema([("g", pa.int64()), ("k", pa.int64()), ("body", pa.binary())]))
 
     return run
 
@@ -186,70 +272,119 @@ def _runs(found: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _arrays(length: int):
-    """Rows arrive by (h, salt); whole groups share an array of about ARRAY_BYTES."""
-
-    def flush(held):
-        rows = {k: [] for k in ("h", "bh", "a", "b")}
-        for (h, bh, _), found in zip(held, repeats([x[2] for x in held], length)):
-            for a, b in zip(*_runs(found)):
-                for name, v in zip(rows, (h, bh, a, b)):
-                    rows[name].append(v)
-        return pa.RecordBatch.from_pydict(rows, pa.schema([("h", pa.int64()), ("bh", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
+    """Rows arrive by (g, k); whole groups share an array of about ARRAY_BYTES."""
+
+    def flush(groups):
+        rows = {k: [] for k in ("g", "k", "a", "b")}
+        worded = [one_word_per_symbol([body for _, _, body in group]) for group in groups]
+        for words in (True, False):
+            held = [x for group, w in zip(groups, worded) if w == words for x in group]
+            for (g, k, _), found in zip(held, repeats([x[2] for x in held], length, words) if held else []):
+                for a, b in zip(*_runs(found)):
+                    for name, v in zip(rows, (g, k, a, b)):
+                        rows[name].append(v)
+        return pa.RecordBatch.from_pydict(rows, pa.schema([("g", pa.int64()), ("k", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
 
     def run(batches):
-        held, size, last = [], 0, None
+        groups, size, last = [], 0, (None, None)
         for batch in batches:
-            for h, salt, bh, body in zip(*(batch.column(c).to_pylist() for c in ("h", "salt", "bh", "body"))):
-                if size > ARRAY_BYTES and (h, salt) != last:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append((h, bh, body))
+            for g, k, body in zip(*(batch.column(c).to_pylist() for c in ("g", "k", "body"))):
+                if (g, k) == last:  # a row given twice
+                    continue
+                if g != last[0]:
+                    if size > ARRAY_BYTES:
+                        yield flush(groups)
+                        groups, size = [], 0
+                    groups.append([])
+                last = g, k
+                groups[-1].append((g, k, body))
                 size += len(body)
-                last = h, salt
-        if held:
-            yield flush(held)
+        if groups:
+            yield flush(groups)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
+def _ranges(length: int, step: int, level: int):
+    """The bodies cut to the windows that begin in each range of ``step`` bytes before the anchor, with a group for the bytes these windows share."""
+
+    def run(batches):
+        for batch in batches:
+            rows = {k: [] for k in ("g", "k", "g2", "k2", "at", "body")}
+            for g, k, anchor, body in zip(*(batch.column(c).to_pylist() for c in ("g", "k", "anchor", "body"))):
+                data = np.frombuffer(body, np.uint8)
+                sums, inverse = _hash_sums(data)
+                p = int(np.flatnonzero(window_hashes(data, GRAM).view(np.int64) == anchor)[0])
+                last = len(body) - length
+                for t in range(0, length - GRAM + 1, step):
+                    a, b = max(p - t - step + 1, 0), min(p - t, last)
+                    if a <= b:
+                        begin, end = np.array([p - t, a]), np.array([p - t - step + 1 + length, b + length])
+                        shared, whole = span_hashes(sums, inverse, begin, end)
+                        group = np.bitwise_xor.reduce(mix(np.array([shared, t, g % 2**64], U) * _SALT[level : level + 3]))
+                        for name, v in zip(rows, (g, k, int(group.view(np.int64)), int(whole.view(np.int64)), a, body[a : b + length])):
+                            rows[name].append(v)
+            yield pa.RecordBatch.from_pydict(rows, pa.schema([("g", pa.int64()), ("k", pa.int64()), ("g2", pa.int64()), ("k2", pa.int64()), ("at", pa.int32()), ("body", pa.binary())]))
+
+    return run
+
+
+def shared_windows(bodies: DataFrame, length: int, split: int = SPLIT, level: int = 0) -> DataFrame:
+    """(g, k, a, b): windows a to b of the different bodies (g, k, anchor, body) that another body of the same group g has too.
+
+    The same (g, k) may be given more than once.
+    """
+    spark = bodies.sparkSession
+    kinds = bodies.select("g", "k").distinct().groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = keep(kinds, "kinds")
+    met = bodies.join(kinds, "g")
+    rows = met.where(f"kinds <= {split}").select("g", "k", "body").repartition(parts(spark), "g").sortWithinPartitions("g", "k")
+    out = rows.mapInArrow(_arrays(length), "g long, k long, a int, b int")
+    if level == len(RANGES) or kinds.where(f"kinds > {split}").isEmpty():
+        return out
+    large = met.where(f"kinds > {split}").select("g", "k", "anchor", "body").dropDuplicates(["g", "k"])
+    cut = keep(large.mapInArrow(_ranges(length, RANGES[level], level), "g long, k long, g2 long, k2 long, at int, body binary").join(large.select("g", "k", "anchor"), ["g", "k"]), "cut")
+    # One length of body for each (g2, k2): equal hashes of whole cut bodies are equal bodies.
+    each = cut.groupBy("g2", "k2").agg(F.count("*").alias("n"), F.first("anchor").alias("anchor"), F.first("body").alias("body"))
+    each = keep(each, "each")
+    found = shared_windows(each.select(F.col("g2").alias("g"), F.col("k2").alias("k"), "anchor", "body"), length, split, level + 1)
+    whole = each.where("n > 1").select(F.col("g2").alias("g"), F.col("k2").alias("k"), F.lit(0).alias("a"), F.expr(f"octet_length(body) - {length}").alias("b"))
+    found = found.unionByName(whole).withColumnsRenamed({"g": "g2", "k": "k2"})
+    return out.unionAll(cut.select("g", "k", "g2", "k2", "at").join(found, ["g2", "k2"]).select("g", "k", F.expr("a + at"), F.expr("b + at")))
+
+
+def repeated_spans(docs: DataFrame, length: int = 200, split: int = SPLIT) -> DataFrame:
     """(doc_id, th, spans) of the rows of (doc_id, th, text) with bytes that a repeated ``length``-byte string covers."""
-    spark = docs.sparkSession
-    found = keep(docs.mapInArrow(_stretch_rows(length), "h long, doc_id long, th long, low int, high int"), "stretches")
-    often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    own = found.join(often, "h").groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "low", "high")).alias("own"))
-    copies = docs.groupBy("doc_id", "th").agg(F.count("*").alias("rows")).where("rows > 1")
-    bodies = docs.dropDuplicates(["doc_id", "th"]).join(own, ["doc_id", "th"]).select("doc_id", "th", "text", "own").mapInArrow(_bodies(length), "h long, body binary, doc_id long, th long, low int")
-    bodies = keep(bodies.withColumn("bh", F.xxhash64("body")), "bodies")
-    distinct = keep(bodies.groupBy("h", "bh", "body").agg(F.count("*").alias("n")), "distinct")
-    group = distinct.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = distinct.join(group, "h").withColumn("salt", F.expr(f"pmod(bh, 1 + kinds div {SPLIT})"))
-    rows = mixed.select("h", "salt", "bh", "body").repartition(parts(spark), "h", "salt").sortWithinPartitions("h", "salt")
-    ranges = rows.mapInArrow(_arrays(length), "h long, bh long, a int, b int")
-    whole = distinct.where("n > 1").select("h", "bh", F.lit(0).alias("a"), F.expr(f"cast(octet_length(body) - {length} as int)").alias("b"))
-    # Anchors with SPLIT different stretches or more were split; what windows share across the splits is compared by window.
-    windows = mixed.where(f"kinds >= {SPLIT}").select("h", "bh", "body", F.explode(F.expr(f"sequence(0, octet_length(body) - {length})")).alias("a"))
-    windows = windows.select("h", "bh", "a", F.md5(F.expr(f"substring(body, a + 1, {length})")).alias("key"))
-    shared = windows.groupBy("key").agg(F.min(F.struct("bh", "a")).alias("x"), F.max(F.struct("bh", "a")).alias("y")).where("x <> y").select("key")
-    across = windows.join(shared, "key").select("h", "bh", "a", F.col("a").alias("b"))
-    ranges = keep(ranges.unionAll(whole).unionAll(across), "ranges")
-    spans = bodies.drop("body").join(ranges, ["h", "bh"]).select("doc_id", "th", F.struct((F.col("low") + F.col("a")).alias("a"), (F.col("low") + F.col("b") + length).alias("b")).alias("x"))
-    # Rows that repeat id and text are each other's copies.
-    twins = docs.dropDuplicates(["doc_id", "th"]).join(copies, ["doc_id", "th"]).where(f"octet_length(text) >= {length}").select("doc_id", "th", F.struct(F.lit(0).alias("a"), F.octet_length("text").alias("b")).alias("x"))
-    return spans.unionAll(twins).groupBy("doc_id", "th").agg(F.collect_set("x").alias("spans"))
-
-
-def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    rows = docs.mapInArrow(_stretch_rows(length), f"h long, bh long, {_KEY}, low int, high int, own boolean")
+    # Anchors that occur twice, and whether different stretches have them.
+    often = rows.where("not own").groupBy("h").agg(F.count("*").alias("n"), F.min("bh").alias("x"), F.max("bh").alias("y")).where("n > 1").select("h", F.expr("x <> y").alias("mixed"))
+    hits = keep(rows.join(often, "h", "left").where("own or mixed is not null").withColumn("mixed", F.expr("not own and mixed")), "stretches")
+    kinds = keep(hits.where("mixed").groupBy("h", "bh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "low", "high")).alias("r")), "kinds")
+    wanted = keep(kinds.groupBy("r.doc_id", "r.th").agg(F.collect_list(F.struct("h", "bh", "r.low", "r.high")).alias("wanted")), "wanted")
+    bodies = only_ids(docs, wanted.select("doc_id").distinct()).join(wanted, ["doc_id", "th"]).mapInArrow(_bodies(length), "g long, k long, body binary")
+    bodies = keep(bodies, "bodies").withColumn("anchor", F.col("g"))
+    ranges = shared_windows(bodies, length, split).unionAll(kinds.where("n > 1").select("h", "bh", F.lit(0), F.expr("r.high - r.low")))
+    ranges = ranges.withColumnsRenamed({"g": "h", "k": "bh"})
+    found = hits.where("mixed").join(ranges, ["h", "bh"]).select("doc_id", "th", F.struct((F.col("low") + F.col("a")).alias("a"), (F.col("low") + F.col("b") + length).alias("b")).alias("x"))
+    whole = hits.where("not mixed").select("doc_id", "th", F.struct(F.col("low").alias("a"), (F.col("high") + length).alias("b")).alias("x"))
+    return found.unionAll(whole).groupBy("doc_id", "th").agg(F.collect_set("x").alias("spans"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary, removed array of (a, b)) of every row.
 
     Texts are their UTF-8 bytes, a null is empty. Removed is every byte covered by a ``length``-byte string that also
     starts anywhere else in the table, its own text included; strings are judged on the input. Texts under
-    ``length`` bytes stay whole. Repeated rows are repeats of each other. What is kept need not be valid UTF-8.
+    ``length`` bytes stay whole. Repeated rows are repeats of each other. What is kept need not be valid UTF-8. Rows of a
+    null id keep it. ``split`` bounds the stretches that meet in a suffix array and doesn't change the result. Stretches
+    are the same if two 64-bit hashes agree, of the anchor and of all bytes. Other columns of ``docs`` are ignored.
     """
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    spans = keep(repeated_spans(docs, length), "spans")
-    if spans.count() <= BROADCAST_IDS // 50:
-        spans = F.broadcast(spans)
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # Rows are told apart by id, and by text where ids repeat.
+    again = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    docs = docs.withColumn("th", F.xxhash64("text") if again else F.lit(0).cast("long"))
+    spans = keep(repeated_spans(docs, length, split), "spans")
+    ids = spans.select("doc_id").distinct()
 
     def cut(batches):
         for batch in batches:
@@ -266,5 +401,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             out = pa.RecordBatch.from_pydict(rows, pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *out.columns], ["doc_id", *out.schema.names])
 
-    out = docs.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<a:int,b:int>>")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<a:int,b:int>>"
+    if ids.count() <= BROADCAST_IDS:  # only texts with spans are moved
+        ids = F.broadcast(ids)
+        out = docs.join(ids, "doc_id", "left_semi").join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+        rest = docs.join(ids, "doc_id", "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.encode("text", "UTF-8").alias("kept"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("removed"))
+        out = out.unionByName(rest)
+    else:
+        out = docs.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
     return out.withColumn("doc_id", F.expr(f"nullif(doc_id, {-(2**63)})"))
