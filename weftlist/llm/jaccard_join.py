@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlist.llm.components import components
-from weftlist.llm.tables import keep, only_ids, parts, plan_bytes
+from weftlist.llm.tables import BROADCAST_IDS, keep, only_ids, parts, plan_bytes
 from weftlist.llm.words import SPACED, U, Words, distinct_by_row, grams, mix, text_slices
 
 #: A signature of more documents than this is listed in runs and under its own name, not under its documents.
@@ -42,6 +42,8 @@ COMMON = 250_000
 #: Shingles that a map task counts at a time, and signatures that it holds before it writes them out by bucket.
 COUNTED = 4_000_000
 BLOCK = 1_000_000
+#: Bytes kept of a signature beside its bucket: meetings by chance are found out when sets are compared.
+SIG_BYTES = 5
 #: Input bytes for each bucket of signatures.
 BUCKET_BYTES = 1 << 20
 #: Sets, and their elements, on each side of a tile; elements found more often than DENSE in a tile are counted by matrix product.
@@ -187,6 +189,11 @@ def set_table(docs: DataFrame, width: int, common) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, shared long, deep boolean")
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    top = np.abs(x).max()
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if top <= np.iinfo(t).max))
+
+
 def _pack(sigs: list, docs: list, buckets: int) -> pa.RecordBatch:
     sig, doc = np.concatenate(sigs), np.concatenate(docs)
     bucket = (sig % U(buckets)).astype(np.int32)
@@ -194,14 +201,15 @@ def _pack(sigs: list, docs: list, buckets: int) -> pa.RecordBatch:
     sig, doc, bucket = sig[order], doc[order], bucket[order]
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     ends = np.append(cuts[1:], len(sig))
-    rest = np.ascontiguousarray((sig // U(buckets)).view(np.uint8).reshape(-1, 8)[:, :6])
+    rest = np.ascontiguousarray((sig // U(buckets)).view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES])
     step = np.diff(doc, prepend=np.int64(0))
-    step[cuts] = doc[cuts]
+    step[cuts] = 0
     return pa.RecordBatch.from_arrays([
         pa.array(bucket[cuts]),
         pa.array([rest[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-        pa.array([(step[a:b].astype(np.int32) if abs(step[a:b]).max() < 2**31 else step[a:b]).tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-    ], ["bucket", "sigs", "docs"])
+        pa.array(doc[cuts]),
+        pa.array([_narrow(step[a:b]).tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+    ], ["bucket", "sigs", "first", "steps"])
 
 
 def _emit(width: int, buckets: int, common):
@@ -235,12 +243,12 @@ def _emit(width: int, buckets: int, common):
 def _meet(table: pa.Table) -> pa.Table:
     """Groups of documents that share a signature, each once: ids ascending; of a hot one, runs that begin with its smallest id."""
     sig, doc = [], []
-    for rest, step in zip(table.column("sigs").to_pylist(), table.column("docs").to_pylist()):
-        n = len(rest) // 6
+    for rest, first, step in zip(*(table.column(c).to_pylist() for c in ("sigs", "first", "steps"))):
+        n = len(rest) // SIG_BYTES
         wide = np.zeros((n, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(rest, np.uint8).reshape(-1, 6)
+        wide[:, :SIG_BYTES] = np.frombuffer(rest, np.uint8).reshape(-1, SIG_BYTES)
         sig.append(wide.view(U).ravel())
-        doc.append(np.cumsum(np.frombuffer(step, np.int32 if len(step) == 4 * n else np.int64).astype(np.int64)))
+        doc.append(first + np.cumsum(np.frombuffer(step, f"i{len(step) // n}"), dtype=np.int64))
     sig, doc = np.concatenate(sig), np.concatenate(doc)
     order = np.argsort(sig, kind="stable")
     sig, doc = sig[order], doc[order]
@@ -452,12 +460,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(common_shingles(docs, width))
     info = keep(set_table(docs, width, common), "sets")
+    again = not info.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").isEmpty()
     named = info.where("doc_id is not null and n_shingles > 0")
     same = named.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = keep(named.join(same.where("copies > 1"), ["k1", "k2", "n_shingles"]).select("doc_id", "rep").distinct(), "copies")
 
     buckets = max(parts(spark), -(-plan_bytes(docs) // BUCKET_BYTES))
-    packed = docs.where("doc_id is not null").mapInArrow(_emit(width, buckets, common), "bucket int, sigs binary, docs binary")
+    # Copies meet anyway, under one name, but a list of them that is small enough to broadcast saves their signatures.
+    emitting, spare = docs.where("doc_id is not null"), copies.where("doc_id <> rep").select("doc_id").distinct()
+    if not again and spare.count() <= BROADCAST_IDS:
+        emitting = emitting.join(F.broadcast(spare), "doc_id", "left_anti")
+    packed = emitting.mapInArrow(_emit(width, buckets, common), "bucket int, sigs binary, first long, steps binary")
     met = packed.groupBy("bucket").applyInArrow(_meet, "hot long, bucket int, ids array<long>, weight long, size long")
     met = keep(met, "met")
 
