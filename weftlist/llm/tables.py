@@ -67,3 +67,15 @@ def fence(df: DataFrame, name: str, value) -> DataFrame:
     """
     value = F.expr(value) if isinstance(value, str) else value
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def boxed(docs: DataFrame, **names: str) -> DataFrame:
+    """``docs`` with columns by the given names and all columns under names of their own (box0, box1, ..), which working names can't clash with."""
+    columns = [F.col(f"`{c}`").alias(f"box{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()], *columns)
+
+
+def unboxed(df: DataFrame, docs: DataFrame, *more: str, **changed: str) -> DataFrame:
+    """The columns of ``docs`` by their names again, those in ``changed`` (column name to working name) replaced, and ``more``; of equal names the new ones stay."""
+    kept = [F.col(changed.get(c, f"box{i}")).alias(c) for i, c in enumerate(docs.columns) if c not in more]
+    return df.select(*kept, *more)
