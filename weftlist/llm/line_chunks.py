@@ -14,8 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlist.llm.tables import BROADCAST_IDS, fence, keep, only_ids
+from weftlist.llm.tables import BROADCAST_IDS, boxed, fence, keep, only_ids, plan_bytes, unboxed
 
+#: Bytes of first occurrences that are broadcast at most.
+FIRST_BYTES = 16 << 20
 #: A boundary follows a line if the first hex digit of the rolling hash is below this digit: one line in four.
 CUT = "4"
 
@@ -29,21 +31,27 @@ def _chunked(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row", F.xxhash64("text")).drop("_lines", "_hashes", "_ends")
 
 
+def _small(first: DataFrame) -> DataFrame:
+    """First occurrences, to be broadcast where they take few bytes: a passage that very many texts have then stays spread over all tasks. More of them are joined by shuffle."""
+    first = keep(first, "first")
+    return F.broadcast(first) if plan_bytes(first) <= FIRST_BYTES else first
+
+
 def dedup_lines(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated chunks cut from the text column, and n_lines, n_removed (lines).
 
     Removed lines leave no trace; the rest is joined by line ends again. A null text stays null (no lines). Rows that
     repeat id and text count as one document and stay alike; of different texts under one id each is its own. Rows of
     a null id keep their text. Chunks of fewer than ``least_lines`` lines are never removed. Other columns pass
-    through, except that columns n_lines and n_removed are replaced. Tables may be empty.
+    through whatever their names; given columns n_lines and n_removed make room for the new ones, which come last. Tables may be empty.
     """
-    docs = docs.drop("n_lines", "n_removed").withColumnRenamed(id_col, "doc_id").withColumnRenamed(text_col, "text")
+    given, docs = docs, boxed(docs, doc_id=id_col, text=text_col)
     rows = _chunked(docs.select("doc_id", "text").where("text is not null and doc_id is not null"))
     chunks = rows.select("doc_id", "_row", F.posexplode("_chunks").alias("place", "lines")).where(f"size(lines) >= {least_lines}")
     chunks = chunks.select("doc_id", "_row", "place", F.size("lines").alias("n"), F.array_join("lines", "\n").alias("chunk")).withColumn("hash", F.xxhash64("chunk"))
     often = keep(chunks.select("hash", F.struct("doc_id", "_row", "place").alias("at")).groupBy("hash").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low <> high").select("hash"), "often")
     again = keep(only_ids(chunks, often, "hash"), "again")
-    first = again.groupBy("hash", "chunk").agg(F.min(F.struct("doc_id", "place", "_row")).alias("first"))
+    first = _small(again.groupBy("hash", "chunk").agg(F.min(F.struct("doc_id", "place", "_row")).alias("first")))
     # The least of (id, text hash) wherever equal ids carry different texts.
     gone = again.join(first, ["hash", "chunk"]).where("struct(doc_id, place, _row) <> first").groupBy("doc_id", "_row").agg(F.array_distinct(F.collect_list("place")).alias("_gone"))
     gone = keep(gone, "gone")
@@ -52,8 +60,7 @@ def dedup_lines(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", t
     out = _chunked(docs).join(gone, ["doc_id", "_row"], "left")
     kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.expr("array_join(flatten(filter(_chunks, (c, i) -> not array_contains(_gone, i))), '\n')"))
     out = out.withColumn("n_lines", F.expr("coalesce(aggregate(_chunks, 0L, (a, c) -> a + size(c)), 0L)")).withColumn("n_removed", F.expr("coalesce(aggregate(_gone, 0L, (a, i) -> a + size(_chunks[i])), 0L)"))
-    out = out.withColumn("text", kept).select(*docs.columns, "n_lines", "n_removed")
-    return out.withColumnRenamed("text", text_col).withColumnRenamed("doc_id", id_col)
+    return unboxed(out.withColumn("text", kept), given, "n_lines", "n_removed", **{text_col: "text"})
 
 
 def dedup_passages(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,7 +72,7 @@ def dedup_passages(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id"
     occurrence only the lines after that go. The first occurrence of every line stays. Rows, null texts,
     null ids and other columns are treated as in ``dedup_lines``.
     """
-    docs = docs.drop("n_lines", "n_removed").withColumnRenamed(id_col, "doc_id").withColumnRenamed(text_col, "text")
+    given, docs = docs, boxed(docs, doc_id=id_col, text=text_col)
     k = int(least_lines)
     rows = fence(docs.select("doc_id", "text").where("text is not null and doc_id is not null"), "_lines", F.split("text", "\n", -1)).where(f"size(_lines) >= {k}")
     rows = rows.withColumn("_row", F.xxhash64("text"))
@@ -73,7 +80,7 @@ def dedup_passages(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id"
     windows = windows.withColumn("hash", F.xxhash64("window"))
     often = keep(windows.select("hash", F.struct("doc_id", "_row", "place").alias("at")).groupBy("hash").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low <> high").select("hash"), "often")
     again = keep(only_ids(windows, often, "hash"), "again")
-    first = again.groupBy("hash", "window").agg(F.min(F.struct("doc_id", "place", "_row")).alias("first"))
+    first = _small(again.groupBy("hash", "window").agg(F.min(F.struct("doc_id", "place", "_row")).alias("first")))
     later = again.join(first, ["hash", "window"]).where("struct(doc_id, place, _row) <> first")
     start = F.expr(f"if(doc_id = first.doc_id and _row = first._row, greatest(place, first.place + {k}), place)")
     gone = later.select("doc_id", "_row", F.explode(F.sequence(start, F.expr(f"place + {k - 1}"))).alias("line")).groupBy("doc_id", "_row").agg(F.collect_set("line").alias("_gone"))
@@ -83,8 +90,7 @@ def dedup_passages(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id"
     out = fence(docs.withColumn("_row", F.xxhash64("text")).join(gone, ["doc_id", "_row"], "left"), "_lines", F.split("text", "\n", -1))
     out = out.withColumn("n_lines", F.expr("if(text is null, 0L, cast(size(_lines) as bigint))")).withColumn("n_removed", F.expr("if(_gone is null, 0L, cast(size(_gone) as bigint))"))
     kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i]), '\n')"))
-    out = out.withColumn("text", kept).select(*docs.columns, "n_lines", "n_removed")
-    return out.withColumnRenamed("text", text_col).withColumnRenamed("doc_id", id_col)
+    return unboxed(out.withColumn("text", kept), given, "n_lines", "n_removed", **{text_col: "text"})
 
 
 ORACLE = f"""
@@ -97,4 +103,5 @@ seen AS (SELECT *, row_number() OVER (PARTITION BY chunk, n ORDER BY doc_id, pla
 kept AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (n >= 2 AND nth > 1), 0) AS BIGINT) AS n_removed,
     coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (NOT (n >= 2 AND nth > 1)), '') AS text FROM seen GROUP BY doc_id)
 SELECT doc_id, n_lines, n_removed, sha256(text) AS kept_sha256 FROM kept
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """
