@@ -1,6 +1,7 @@
 """Order MinHash fingerprints, in DataFrame operations only.
 
-Tokens are runs of up to ``TOKEN`` non-blank code points; k-mers are ``K`` consecutive tokens, each numbered by its
+Tokens are words, or, in runs of over ``TOKEN`` code points without a blank, all overlapping stretches of ``INNER`` code points, so
+that an insertion only touches what is beside it; k-mers are ``K`` consecutive tokens, each numbered by its
 occurrence, so repeats count. One hash of (k-mer, number) deals them to ``SKETCHES`` groups and orders them within
 a group; the ``KEEP`` smallest of a group are put back in text order and hashed as a tuple. Two texts share
 a group's hash if they share these k-mers in the same order, which is sensitive to edit distance where
@@ -12,16 +13,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlist.llm.tables import fence, keep, parts
+from weftlist.llm.tables import boxed, fence, keep, parts, unboxed
 
-K, TOKEN, SKETCHES, KEEP = 2, 12, 32, 2
+K, TOKEN, INNER, SKETCHES, KEEP = 2, 24, 5, 32, 2
 _PLACE = 28  # bits of a token's place
 
 
 def sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds ``name``: an array of SKETCHES hex strings, '' for a group without k-mers. Shorter texts are one k-mer; null is empty."""
     mask, bins = (1 << _PLACE) - 1, SKETCHES
-    df = fence(df, "_t", f"regexp_extract_all(coalesce({text}, ''), '\\\\S{{1,{TOKEN}}}', 0)")
+    runs = "regexp_extract_all(_x, '\\\\S+', 0)"
+    inner = f"transform({runs}, w -> if(char_length(w) <= {TOKEN}, array(w), regexp_extract_all(w, '(?=(\\\\S{{{INNER}}}))', 1)))"
+    df = fence(df, "_x", f"coalesce({text}, '')")
+    df = fence(df, "_t", f"if(_x rlike '\\\\S{{{TOKEN + 1}}}', flatten({inner}), {runs})")
     grams = ", ".join(f"coalesce(get(_t, i + {j}), '')" for j in range(K))
     df = fence(df, "_g", f"if(size(_t) = 0, cast(array() as array<bigint>), transform(sequence(0, greatest(0, size(_t) - {K})), i -> xxhash64({grams})))")
     # Sorted by k-mer and place, equal k-mers stand side by side: their rank in the run is the occurrence number.
@@ -33,7 +37,7 @@ def sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     df = fence(df, "_e", f"map_from_entries(filter(transform(_o, (x, i) -> if(i = 0 or shiftright(x, 58) <> shiftright(_o[i - 1], 58), struct(cast(shiftrightunsigned(x, 58) as int), i + 1), null)), p -> p is not null))")
     df = fence(df, name, f"""transform(sequence(0, {bins - 1}), b -> if(element_at(_e, b) is null, '',
         hex(aggregate(array_sort(transform(filter(slice(_o, element_at(_e, b), {KEEP}), x -> shiftrightunsigned(x, 58) = b), x -> x & {mask}L)), 0L, (acc, i) -> xxhash64(acc, _g[cast(i as int)])))))""")
-    return df.drop("_t", "_g", "_s", "_b", "_n", "_o", "_e")
+    return df.drop("_x", "_t", "_g", "_s", "_b", "_n", "_o", "_e")
 
 
 def likeness(a: str, b: str):
@@ -43,9 +47,9 @@ def likeness(a: str, b: str):
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with column ``fingerprint``; other columns pass through."""
-    out = sketch(docs, text_col, "_f")
-    return out.withColumn("fingerprint", F.array_join("_f", "-")).drop("_f")
+    """``docs`` with column ``fingerprint``, that of null and empty texts having only empty parts; other columns pass through whatever their names."""
+    out = sketch(boxed(docs, text=text_col), "text", "f")
+    return unboxed(out.withColumn("fingerprint", F.array_join("f", "-")), docs, "fingerprint")
 
 
 def with_next(docs: DataFrame, columns: list[str], buckets: int, ids: DataFrame) -> DataFrame:
