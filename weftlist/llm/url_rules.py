@@ -29,8 +29,9 @@ def host_path(url: str):
 
 
 def _key(labels: str, path: str):
-    """Reversed labels end with \\x01 each, the path starts after \\x02: no label or path sorts into another's interval."""
-    return F.expr(f"concat(array_join(reverse({labels}), '\\u0001'), '\\u0001\\u0002', {path})")
+    """Reversed labels end with \\x01 each, the path starts after \\x02: no label or path sorts into another's interval. In labels these marks are written as \\x03 and a letter."""
+    plain = "replace(replace(replace(x, '\\u0003', '\\u0003c'), '\\u0001', '\\u0003a'), '\\u0002', '\\u0003b')"
+    return F.expr(f"concat(array_join(transform(reverse({labels}), x -> {plain}), '\\u0001'), '\\u0001\\u0002', {path})")
 
 
 def segments(rules: DataFrame) -> DataFrame:
