@@ -68,3 +68,29 @@ def test_constant_text_has_few_stretches():
     for a, b in zip(s.own[1], s.own[2]):
         covered[a : b + 200] = True
     assert covered.all()
+
+
+def test_every_way_to_cut():
+    """Symbols of several words, of one and of one byte find the same windows."""
+    rng = random.Random(5)
+    used = set()
+    for _ in range(60):
+        letters = rng.choice(["abcd ", "abcdefghij  ", "ab", " bdfh \n"])
+        text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+        passage, bodies = text(230), []
+        for _ in range(5):
+            t = list(passage)
+            if rng.random() < 0.4:
+                t[rng.randrange(230)] = "z"
+            bodies.append((text(rng.randrange(40)) + "".join(t) + text(rng.randrange(40))).encode())
+        seen = {}
+        for b in bodies:
+            for j in range(len(b) - 199):
+                seen[b[j : j + 200]] = seen.get(b[j : j + 200], 0) + 1
+        want = [[seen[b[j : j + 200]] > 1 for j in range(len(b) - 199)] for b in bodies]
+        for way in range(suffix_dedup.way_to_cut(bodies), len(suffix_dedup.CUTS)):
+            cut, _, most = suffix_dedup.CUTS[way]
+            if all(len(t) <= most for b in bodies for t in cut.findall(b)):
+                used.add(way)
+                assert [list(x) for x in suffix_dedup.repeats(bodies, 200, way)] == want
+    assert used == {0, 1, 2}

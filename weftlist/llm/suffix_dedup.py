@@ -8,10 +8,10 @@ longest Lyndon prefix, groups being taken in descending order and handing their
 previous smaller suffix, and then each group's order is emitted from the order of the suffixes that
 follow the prefixes, without renaming or recursion.
 
-The array's symbols are words with the white space after them. These are prefix-free, so the order of their
-suffixes is the order of the bytes. A window belongs to the suffix after the first end of a word in it: among
-windows with equal bytes before that, equal windows are neighbours in the array. Neighbours are compared
-byte by byte. Where a word is longer than ``LONG`` bytes the symbols are single bytes.
+The array's symbols are runs of words: cuts come after white space that follows a byte of even value. Symbols are
+prefix-free, so the order of their suffixes is the order of the bytes. A window belongs to the suffix after the first cut
+that its own bytes tell: among windows with equal bytes before that, equal windows are neighbours in the array.
+Neighbours are compared byte by byte. Stretches with too long a symbol are cut at all white space, or else into bytes.
 
 An anchor with more than ``SPLIT`` different stretches is split by what its windows have in common: those that
 begin within a given range before the anchor share the bytes around it, and only stretches that agree in these
@@ -37,10 +37,12 @@ GRAM = 32
 ARRAY_BYTES = 1 << 20
 SPLIT = 1000
 RANGES = (21, 3, 1)
-#: Longest word that is one symbol, and how far apart equal anchors are taken for a period.
+#: How far apart equal anchors are taken for a period.
 LONG = 64
 
-_WORD = re.compile(rb"[^\x00-\x20]*[\x00-\x20]|[^\x00-\x20]+")
+_ENDS = b"".join(re.escape(bytes([b])) for b in range(0x22, 0x100, 2))
+#: Ways to cut bytes into symbols: a pattern that finds them one after another, the bytes before a cut that decide it, and the longest symbol.
+CUTS = ((re.compile(rb"(?s).*?[" + _ENDS + rb"][\x00-\x20]|.+"), 2, 120), (re.compile(rb"[^\x00-\x20]*[\x00-\x20]|[^\x00-\x20]+"), 1, 64), (re.compile(rb"(?s)."), 0, 1))
 _KEY = "doc_id long, th long"
 
 
@@ -188,38 +190,39 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def _symbols(bodies: list[bytes], words: bool) -> tuple[list[int], np.ndarray]:
+def _symbols(bodies: list[bytes], cut: re.Pattern) -> tuple[np.ndarray, np.ndarray]:
     """The bodies' symbols by ascending rank, an end symbol 0 after each body, and where in the joined bytes each symbol starts."""
-    split = [_WORD.findall(b) for b in bodies] if words else [[b[i : i + 1] for i in range(len(b))] for b in bodies]
+    split = [cut.findall(b) for b in bodies]
     rank = {token: i + 1 for i, token in enumerate(sorted(set().union(*split)))}
-    symbols = [r for tokens in split for r in (*map(rank.__getitem__, tokens), 0)]
-    lengths = np.array([n for tokens in split for n in (*map(len, tokens), 0)])
-    return symbols, np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    symbols = np.array([r for tokens in split for r in (*map(rank.__getitem__, tokens), 0)], np.int64)
+    lengths = np.array([n for tokens in split for n in (*map(len, tokens), 0)], np.int64)
+    return symbols, np.cumsum(lengths) - lengths
 
 
-def one_word_per_symbol(bodies: list[bytes]) -> bool:
-    return all(len(max(_WORD.findall(b), key=len, default=b"")) <= LONG for b in bodies)
+def way_to_cut(bodies: list[bytes]) -> int:
+    """The first of CUTS with no symbol too long."""
+    return next(i for i, (cut, _, most) in enumerate(CUTS) if all(len(token) <= most for b in bodies for token in cut.findall(b)))
 
 
-def repeats(bodies: list[bytes], length: int, words: bool) -> list[np.ndarray]:
-    """For each of some byte strings, which of its windows occur at another place in them. With ``words`` no word is over LONG bytes."""
+def repeats(bodies: list[bytes], length: int, way: int) -> list[np.ndarray]:
+    """For each of some byte strings, which of its windows occur at another place in them; ``way`` suits them all."""
+    cut, back, _ = CUTS[way]
     data = np.frombuffer(b"".join(bodies), np.uint8)
     ends = np.cumsum([len(b) for b in bodies])
     starts = ends - [len(b) for b in bodies]
-    symbols, place = _symbols(bodies, words)
+    symbols, place = _symbols(bodies, cut)
     rank = np.zeros(len(data) + 1, np.int64)
-    order = np.array(suffix_array(symbols), np.int64)
-    order = order[np.array(symbols)[order] > 0]
+    order = np.array(suffix_array(symbols.tolist()), np.int64)
+    order = order[symbols[order] > 0]
     rank[place[order]] = np.arange(len(order))
-    first = place[np.array(symbols) > 0]
     valid = np.zeros(len(data) + 1, np.int8)
     for b, s in zip(bodies, starts):
         valid[s : s + max(len(b) - length + 1, 0)] = 1
     window = np.flatnonzero(valid)
     suffix = window
-    if words and len(window):  # after the first end of a word in the window, which its own bytes tell
-        first = np.setdiff1d(first, starts)
-        suffix = first[np.searchsorted(first, window, "right")]
+    if back and len(window):
+        first = np.setdiff1d(place[symbols > 0], starts)
+        suffix = first[np.searchsorted(first, window + back)]
     before = span_hashes(*_hash_sums(data), window, suffix)
     by = np.lexsort((rank[suffix], before))
     x, y = window[by[:-1]], window[by[1:]]
@@ -276,10 +279,10 @@ def _arrays(length: int):
 
     def flush(groups):
         rows = {k: [] for k in ("g", "k", "a", "b")}
-        worded = [one_word_per_symbol([body for _, _, body in group]) for group in groups]
-        for words in (True, False):
-            held = [x for group, w in zip(groups, worded) if w == words for x in group]
-            for (g, k, _), found in zip(held, repeats([x[2] for x in held], length, words) if held else []):
+        ways = [way_to_cut([body for _, _, body in group]) for group in groups]
+        for way in sorted(set(ways)):
+            held = [x for group, w in zip(groups, ways) if w == way for x in group]
+            for (g, k, _), found in zip(held, repeats([x[2] for x in held], length, way)):
                 for a, b in zip(*_runs(found)):
                     for name, v in zip(rows, (g, k, a, b)):
                         rows[name].append(v)
@@ -355,7 +358,7 @@ def shared_windows(bodies: DataFrame, length: int, split: int = SPLIT, level: in
 
 def repeated_spans(docs: DataFrame, length: int = 200, split: int = SPLIT) -> DataFrame:
     """(doc_id, th, spans) of the rows of (doc_id, th, text) with bytes that a repeated ``length``-byte string covers."""
-    rows = docs.mapInArrow(_stretch_rows(length), f"h long, bh long, {_KEY}, low int, high int, own boolean")
+    rows = keep(docs.mapInArrow(_stretch_rows(length), f"h long, bh long, {_KEY}, low int, high int, own boolean"), "rows")
     # Anchors that occur twice, and whether different stretches have them.
     often = rows.where("not own").groupBy("h").agg(F.count("*").alias("n"), F.min("bh").alias("x"), F.max("bh").alias("y")).where("n > 1").select("h", F.expr("x <> y").alias("mixed"))
     hits = keep(rows.join(often, "h", "left").where("own or mixed is not null").withColumn("mixed", F.expr("not own and mixed")), "stretches")
