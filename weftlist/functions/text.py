@@ -11,14 +11,19 @@ from pyspark.sql.types import StringType
 
 # Symbol rewrites of the simple normaliser, applied in this order.
 REWRITES = [
-    ("[‚]", "'"), ("[„]", '"'), ("[·•†‡]", ""), ("[‐-―]", "-"),
-    ("[‘’‛´`]", "'"), ("[“”«»]", '"'), ("[⸀-￿]", ""),
+    ("‚", ","), ("„", ",,"), ("·", "."), ("…", "..."), ("ˆ", "^"), ("˜", "~"), ("‹", "<"), ("›", ">"),
+    ("[‘’´`]", "'"), ("[“”«»]", '"'), ("[•†‡]", ""), ("[‐‑–—]", "-"), ("[\u2e00-\uffff]", ""),
 ]
 
 
+def trim(c: Column) -> Column:
+    """Without blanks and control characters at the ends."""
+    return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
+
+
 def ws_normalize(c: Column) -> Column:
     """Runs of white space become a blank; control characters and blanks at the ends go."""
-    return F.regexp_replace(F.regexp_replace(c, r"[ \t\n\x0B\f\r]+", " "), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return trim(F.regexp_replace(c, r"[ \t\n\x0B\f\r]+", " "))
 
 
 @F.pandas_udf(StringType())
@@ -28,26 +33,21 @@ def strip_marks(s: pd.Series) -> pd.Series:
 
 
 def simple_normalize(c: Column, marks: bool = True) -> Column:
-    """Marks, symbols, citations, trailing stars, years in brackets, outer quotes and list numbers go. ``marks=False`` leaves marks in place, all in built-in functions."""
+    """Marks, symbols, citations, trailing stars, years or numbers in brackets, outer quotes and list numbers go. ``marks=False`` leaves marks in place, all in built-in functions."""
     c = strip_marks(c) if marks else c
     for pattern, to in REWRITES:
         c = F.regexp_replace(c, pattern, to)
-    c = F.regexp_replace(c, r"\[(nb )?\d+\]", "")
-    c = F.regexp_replace(c, r"\*+$", "")
-    c = F.regexp_replace(c, r"\((\d{4}(-\d{4})?)?\)", "")
-    c = ws_normalize(c)
-    c = F.regexp_replace(c, r'^"([^"]*)"$', "$1")
-    c = F.when(c.rlike(r"^[0-9.]+$"), c).otherwise(F.regexp_replace(c, r"^\d+\.", ""))
-    return ws_normalize(c)
+    for pattern, to in ((r"\[(nb ?)?\d+\]", ""), (r"\*+$", ""), (r"\(\d* ?-? ?\d*\)", ""), ('^"(.*)"$', "$1")):
+        c = F.regexp_replace(c, pattern, to)
+    return ws_normalize(F.when(c.rlike(r"^[0-9.]+\z"), c).otherwise(F.regexp_replace(c, r"^\d+\.", "")))
 
 
 def aggressive_normalize(c: Column, marks: bool = True) -> Column:
     """The simple form without any bracketed text, non-ASCII, tail after a dash or final parenthesis."""
     c = simple_normalize(c, marks)
-    c = ws_normalize(F.regexp_replace(c, r"\[[^\]]*\]", ""))
-    c = ws_normalize(F.regexp_replace(c, "[\u007f-￿]", ""))
-    c = ws_normalize(F.regexp_replace(c, r" - .*$", ""))
-    return ws_normalize(F.regexp_replace(c, r"\([^)]*\)$", ""))
+    for pattern in (r"\[[^\]]*\]", "[\u007f-\uffff]", r" - .*$", r"\([^)]*\)$"):
+        c = F.regexp_replace(trim(c), pattern, "")
+    return ws_normalize(c)
 
 
 def normalize(c: Column, level: int, marks: bool = True) -> Column:
@@ -56,32 +56,34 @@ def normalize(c: Column, level: int, marks: bool = True) -> Column:
 
 
 def phrase_shape(c: Column) -> Column:
-    """Lower-case letters a, other letters A, digits 0; equal neighbours collapse."""
+    """Lower-case letters a, other letters A, digits 0, any space a blank; equal neighbours collapse."""
     c = F.regexp_replace(c, r"\p{javaLowerCase}", "a")
     c = F.regexp_replace(c, r"[\p{L}&&[^a]]", "A")
     c = F.regexp_replace(c, r"\p{Nd}", "0")
+    c = F.regexp_replace(c, r"[\p{Z}\t-\r\x1c-\x1f]", " ")
     return F.regexp_replace(c, r"(?s)(.)\1+", "$1")
 
 
+def java_split(c: Column, by: str) -> Column:
+    """Parts between ``by``, without empty ones at the end; a string without ``by`` is one part, even if empty."""
+    cut = F.regexp_replace(c, f"({by})+\\z", "")
+    return F.when(F.contains(c, F.lit(by)) & (cut == ""), F.array().cast("array<string>")).otherwise(F.split(cut, by))
+
+
 def collapse(words: Column) -> Column:
     """An array without elements that equal the one before."""
     return F.filter(words, lambda x, i: (i == 0) | (x != F.get(words, i - 1)))
 
 
 def bag_of_words(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.regexp_replace(c, r"[0-9]", "0"), F.lit("[A-Za-z0-9]+"), F.lit(0))))
+    """The set of words, in order; each run of digits is one 0."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.regexp_replace(c, r"[0-9]+", "0"), F.lit("[A-Za-z0-9]+"), F.lit(0))))
 
 
 def alnum_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z]+|[0-9]+"), F.lit(0))
 
 
-def crude_tokens(c: Column) -> Column:
-    """Tokens split at white space with part of speech CD for numbers and UNK otherwise."""
-    words = F.split(ws_normalize(c), " ")
-    return F.transform(words, lambda w: F.struct(w.alias("token"), F.when(w.try_cast("double").isNotNull(), "CD").otherwise("UNK").alias("pos")))
-
-
 def near(a: Column, b: Column, limit: int) -> Column:
     """Bounded edit distance of gold ``a`` and ``b``, with the banded form's rule that the first character of ``a`` is never plainly deleted."""
     tail = F.substring(a, 2, 2**30)
@@ -103,15 +105,14 @@ def hack_phrase(c: Column) -> Column:
 def head_index(tags: Column, entities: Column) -> Column:
     """Place of the head word, from part-of-speech and entity tags; null for no tokens.
 
-    Before the first preposition or question word that isn't at the start: the last noun if the token before is not a
-    named entity, else that token. Without one: the last token that is no number or date.
+    Before the first preposition or question word that isn't at the start, if the token before is no named entity: the
+    last noun, else that token. Otherwise the last token that is no number or date, else the last.
     """
     places = F.sequence(F.lit(0), F.size(tags) - 1)
     cut = F.get(F.filter(places, lambda i: (i > 0) & F.get(tags, i).isin("IN", "WP", "WDT", "TO")), F.lit(0))
     noun = F.array_max(F.filter(places, lambda i: (i < cut) & F.startswith(F.get(tags, i), F.lit("N"))))
     plain = F.array_max(F.filter(places, lambda i: (F.get(tags, i) != "CD") & (F.coalesce(F.get(entities, i), F.lit("O")) != "DATE")))
-    before = F.when(F.get(entities, cut - 1) == "O", F.coalesce(noun, cut - 1)).otherwise(cut - 1)
-    return F.when(F.size(tags) > 0, F.when(cut.isNotNull(), before).otherwise(plain))
+    return F.when(F.size(tags) > 0, F.when(F.get(entities, cut - 1) == "O", F.coalesce(noun, cut - 1)).otherwise(F.coalesce(plain, F.size(tags) - 1)))
 
 
 def canonical_pos(tag: Column) -> Column:
