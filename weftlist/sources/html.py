@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +17,10 @@ SCOPE = {"li": {"ul", "ol"}, "td": {"table"}, "th": {"table"}, "tr": {"table"},
 HEAD = {"title", "meta", "link", "style", "script", "base", "noscript"}
 FORMAT = {"b", "i", "u", "em", "strong", "a", "font", "small", "big", "code", "s", "tt"}
 LIMIT = 140
-SCHEMA = "page_id long, root_no int, pre_id int, parent_id int, depth int, tag string, full_text string, attrs map<string,string>, child_idx int, child_idx_tag int, n_sib int, n_sib_tag int, n_children int, ts_in int, ts_out int, ancestors array<int>, tags array<string>, idxs array<int>"
+SCHEMA = "page_id long, root_no int, pre_id int, parent_id int, depth int, tag string, full_text string, attrs map<string,string>, child_idx int, child_idx_tag int, n_sib int, n_sib_tag int, n_children int, ts_in int, ts_out int, ts_in_collapsed int, ancestors array<int>, tags array<string>, idxs array<int>, anys array<int>, sibs array<int>, alls array<int>"
+ARROW = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}[t]) for n, t in (x.split() for x in SCHEMA.split(", "))])
+_SPACE = re.compile(r"\s+")
+_SPACED = BLOCK | {"li", "td", "th", "tr"}
 
 
 class Node:
@@ -95,12 +98,22 @@ def _span(value: str | None) -> int:
     return int(value) if value and re.fullmatch(r"\d+", value) else 0
 
 
-def fix_tables(node: Node) -> None:
+def _all(root: Node) -> list[Node]:
+    """Every node, parents before children."""
+    out = [root]
+    for node in out:
+        out.extend(node.children)
+    return out
+
+
+def fix_tables(root: Node) -> None:
     """Cells spanning columns or rows get empty cells where they reach."""
-    for child in node.children:
-        fix_tables(child)
-    if node.tag != "tbody":
-        return
+    for node in reversed(_all(root)):
+        if node.tag == "tbody":
+            _fix_rows(node)
+
+
+def _fix_rows(node: Node) -> None:
     rows = [r for r in node.children if r.tag == "tr"]
     pending: dict[int, tuple[int, str]] = {}
     for row in rows:
@@ -129,80 +142,105 @@ def fix_tables(node: Node) -> None:
         row.children = out + [c for c in row.children if c.tag not in ("td", "th")]
 
 
-def fix_breaks(node: Node) -> None:
+def fix_breaks(root: Node) -> None:
     """Children around direct line breaks are wrapped in paragraphs, empty runs too."""
-    if any(c.tag == "br" for c in node.children):
-        runs = [Node("p")]
-        for child in node.children:
-            runs.append(Node("p")) if child.tag == "br" else runs[-1].children.append(child)
-        node.children = runs
-    for child in node.children:
-        fix_breaks(child)
-
-
-def _text(node: Node, out: list[str]) -> None:
-    if node.text is not None:
-        out.append(node.text)
-    if node.tag in BLOCK or node.tag in ("br", "li", "td", "th", "tr"):
-        out.append(" ")
-    for child in node.children:
-        _text(child, out)
-    if node.tag in BLOCK or node.tag in ("li", "td", "th", "tr"):
-        out.append(" ")
-
-
-def parse(html: str) -> list[Node]:
-    """The page's tree before and after the line-break repair."""
-    roots = []
-    for breaks in (False, True):
-        builder = Builder()
-        builder.feed(html)
-        builder.close()
-        fix_tables(builder.html)
-        if breaks:
-            fix_breaks(builder.html)
-        roots.append(builder.html)
-    return roots
+    todo = [root]
+    for node in todo:
+        if any(c.tag == "br" for c in node.children):
+            runs = [Node("p")]
+            for child in node.children:
+                runs.append(Node("p")) if child.tag == "br" else runs[-1].children.append(child)
+            node.children = runs
+        todo.extend(node.children)
+
+
+def parse(html: str) -> Node:
+    """The page's tree with repaired tables."""
+    builder = Builder()
+    builder.feed(html)
+    builder.close()
+    fix_tables(builder.html)
+    return builder.html
+
+
+def _piece(text: str) -> str | None:
+    """A text with single blanks; null beyond the limit, which no text around it can meet either."""
+    text = _SPACE.sub(" ", text)
+    return text if len(text) - 2 <= LIMIT and len(text.strip()) <= LIMIT else None
+
+
+def _walk(root: Node, page_id, root_no: int, rows: list[tuple]) -> None:
+    """Rows of a tree in document order. Texts are put together from the children's, and given up where they are too long."""
+    clock = number = 0
+    todo: list = [(root, None, 2, (root_no, root_no, 2, 2), [], [], [], [], [], [])]
+    open_nodes: list = []
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            open_nodes[-1][1].append(item)
+            continue
+        if item is None:
+            clock += 1
+            (node, parent, depth, place, ancestors, tags, idxs, anys, sibs, alls), parts, at, begin, own, n_kids = open_nodes.pop()
+            piece = None
+            if None not in parts:
+                inner = "".join(parts) if node.text is None else node.text
+                piece = _piece(f" {inner} " if node.tag in _SPACED else f" {inner}" if node.tag == "br" else inner)
+            if open_nodes:
+                open_nodes[-1][1].append(piece)
+            rows[at] = (page_id, root_no, own, parent, depth, node.tag, None if piece is None else piece.strip(), list(node.attrs.items()), *place, n_kids, begin, clock, own + 1, ancestors, tags, idxs, anys, sibs, alls)
+            continue
+        node, parent, depth, place, ancestors, tags, idxs, anys, sibs, alls = item
+        clock, own = clock + 1, number
+        number += 1
+        tags, idxs, anys, sibs, alls = [*tags, node.tag], [*idxs, place[1]], [*anys, place[0]], [*sibs, place[3]], [*alls, place[2]]
+        kids = [c for c in node.children if c.text is None or c.text.strip()]
+        open_nodes.append(((node, parent, depth, place, ancestors, tags, idxs, anys, sibs, alls), [], len(rows), clock, own, len(kids)))
+        rows.append(())
+        seen: dict[str, int] = {}
+        for k in kids:
+            seen[k.tag] = seen.get(k.tag, 0) + 1
+        count: dict[str, int] = {}
+        below, inside, i = [], [*ancestors, own], 0
+        for k in node.children:
+            if k.text is not None and not k.text.strip():
+                below.append(k.text)
+                continue
+            count[k.tag] = count.get(k.tag, -1) + 1
+            below.append((k, own, depth + 1, (i, count[k.tag], len(kids), seen[k.tag]), inside, tags, idxs, anys, sibs, alls))
+            i += 1
+        todo.append(None)
+        todo.extend(reversed(below))
 
 
 def rows_of(page_id, html: str | None) -> list[tuple]:
-    rows = []
-    for root_no, root in enumerate(parse(html or "")):
-        clock, number = 0, 0
-
-        def walk(node, parent, depth, place, ancestors, tags, idxs):
-            nonlocal clock, number
-            clock += 1
-            number += 1
-            own, begin, at = number - 1, clock, len(rows)
-            parts: list[str] = []
-            _text(node, parts)
-            text = re.sub(r"\s+", " ", "".join(parts)).strip()
-            tags, idxs = [*tags, node.tag], [*idxs, place[1]]
-            rows.append(None)
-            seen: dict[str, int] = {}
-            kids = [c for c in node.children if c.text is None or c.text.strip()]
-            for k in kids:
-                seen[k.tag] = seen.get(k.tag, 0) + 1
-            count: dict[str, int] = {}
-            for i, k in enumerate(kids):
-                count[k.tag] = count.get(k.tag, -1) + 1
-                walk(k, own, depth + 1, (i, count[k.tag], len(kids), seen[k.tag]), [*ancestors, own], tags, idxs)
-            clock += 1
-            rows[at] = (page_id, root_no, own, parent, depth, node.tag, text if len(text) <= LIMIT else None, node.attrs, *place, len(kids), begin, clock, ancestors, tags, idxs)
-
-        walk(root, None, 2, (root_no, root_no, 2, 2), [], [], [])
+    """A page's rows before and after the line-break repair."""
+    rows: list[tuple] = []
+    root = parse(html or "")
+    _walk(root, page_id, 0, rows)
+    fix_breaks(root)
+    _walk(root, page_id, 1, rows)
     return rows
 
 
 def nodes(pages: DataFrame) -> DataFrame:
     """The node table of pages (page_id, html); a null page has an empty tree of html, head and body."""
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
-    def run(frames):
-        for frame in frames:
-            for low in range(0, len(frame), 50):
-                part = frame.iloc[low : low + 50]
-                yield pd.DataFrame([r for i, h in zip(part.page_id, part.html) for r in rows_of(i, h)], columns=names)
+    def run(batches):
+        for batch in batches:
+            held: list[tuple] = []
+            for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held += rows_of(page_id, html)
+                if len(held) > 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), ARROW)], schema=ARROW)
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), ARROW)], schema=ARROW)
+
+    return pages.select("page_id", "html").mapInArrow(run, SCHEMA)
+
 
-    return pages.select("page_id", "html").mapInPandas(run, SCHEMA)
+def title(node_table: DataFrame) -> DataFrame:
+    """(page_id, title, h1, n_nodes): the texts of a page's first title and first h1 elements, and its number of nodes before the line-break repair."""
+    first = lambda tag: F.min_by(F.when(F.col("tag") == tag, F.col("full_text")), F.when(F.col("tag") == tag, F.col("pre_id")))
+    return node_table.where("root_no = 0").groupBy("page_id").agg(first("title").alias("title"), first("h1").alias("h1"), F.count("*").alias("n_nodes"))
