@@ -35,11 +35,40 @@ def test_group_features(spark):
     assert {"hole :: ul/li-any-all", "hole :: ul/li-tag-all", "hole :: body/ul-any-hole-top", "hole :: body/ul-any-hole-bottom", "hole :: body/ul-single"} <= holes
     assert not any("ul/li-any-hole" in h for h in holes)
     entity = {r.feature: r.value for r in features.entity(items).collect()}
-    assert "entity :: phrase-shape-majority = a" in entity and entity["entity :: num-word-mean"] == 3 / 4
-    assert "entity :: entity-entropy >= 100%" in entity and "entity :: entity-duplicated" not in entity
-    assert features.node_range(nodes, items).count() > 0
+    assert "entity :: phrase-shape-majority = a" in entity and "entity :: num-word-mean >= 1" not in entity
+    assert abs(entity["entity :: entity-normalized-entropy"] - 1) < 1e-9 and "entity :: entity-max-duplication >= 1" in entity and "entity :: entity-max-duplication >= 2" not in entity
+    numbers = {r.feature: r.value for r in features.entity(items, steps=False, collapsed=True, count=True).collect()}
+    assert numbers["entity :: num-word-mean"] == 3 / 4 and "entity :: num-entities >= 4" in numbers and "entity :: collapsed-phrase-shape-majority = a" in numbers
+    assert own["self-or-ancestors :: id-majority ~ x"] == own["self-or-ancestors :: id-single"] == 1  # elements without one don't vote
+    places = sorted(items.first().node_ids)
+    total = nodes.where(F.col("page_id") == items.first().page_id).count()
+    span = {r.feature for r in features.node_range(nodes, items).collect()}
+    for name, share in (("length", (places[-1] - places[0]) / total), ("start", (places[0] + 1) / total), ("end", (places[-1] + 1) / total)):
+        assert {f for f in span if f"{name} " in f} == {f"node-range :: {name} >= {i}%" for i in range(0, 101, 20) if i <= min(share * 100, 100)}
     tail = {r.feature for r in features.path_tail(cands.where("xpath = '/html[1]/body/ul/li'"), ["xpath"]).collect()}
-    assert {"path-tail :: suffix = ul/li", "path-tail :: (n-1)-tag = li", "path-tail :: (n-4)-indexed = true"} <= tail
+    assert {"path-tail :: /ul/li", "path-tail :: (n-1)-tag = li", "path-tail :: (n-4)-indexed = true"} <= tail
+
+
+def test_headers(spark):
+    from weftlist.operators import lexical
+
+    page = "<html><body><table><tr><th>City</th><th>River</th></tr><tr><td>Bern</td><td>Aare</td></tr><tr><td>Rome</td><td>Tiber</td></tr><tr><td>Paris</td><td>Seine</td></tr></table></body></html>"
+    nodes = html.nodes(spark.createDataFrame([(0, page)], "page_id long, html string")).where("root_no = 0")
+    groups = candidates.groups(candidates.candidates(nodes)).where("entities = array('Aare', 'Tiber', 'Seine') and exists(xpaths, p -> p like '%/td[2]')")
+    assert groups.count() == 1
+    found = {r.header for r in lexical.headers(nodes, groups).collect()}
+    assert "River" in found  # the same column of the row above the hole
+    heads = spark.createDataFrame([(0, "River")], "page_id long, headword string")
+    out = {r.feature: r.value for r in lexical.header(nodes, groups, heads, prefixes=(0,)).collect()}
+    assert out["header :: header ~ river"] >= 1 and "header :: match-headword" not in out  # headers keep their case
+
+
+def test_late_normalisation(spark):
+    cands = spark.createDataFrame([(0, 0, "/a", [1, 2, 3], ["Café (x)", "Café [1]", "[2]"]), (0, 0, "/b", [1, 2, 3], ["Café (x)", "Café [1]", "[2]"])], "page_id long, root_no int, xpath string, node_ids array<int>, entities array<string>")
+    for level, want in ((0, ["Café (x)", "Café [1]", "[2]"]), (1, ["Café (x)", "Café [1]", "[2]"]), (2, ["Cafe (x)", "Cafe", ""]), (3, ["Cafe", "Cafe", ""])):
+        rows = candidates.groups(cands, level).collect()
+        assert len(rows) == 1 and rows[0].entities == want and rows[0].xpaths == ["/a", "/b"]
+    assert candidates.one_per_group(cands).first().xpath == "/a" and candidates.one_per_group(cands).count() == 1
 
 
 def best_matching(gold, predicted, fits):

@@ -26,13 +26,27 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
-def voting(occurrences: DataFrame, keys: list[str], domain: str) -> DataFrame:
+def entropy_features(name: Column, entropy: Column, bins: bool) -> Column:
+    """(feature, value) of a normalised entropy above 0: the number itself, or its bin of ten."""
+    named = F.concat(name, F.lit("-normalized-entropy"))
+    if bins:
+        low = stats.bin_of(entropy)
+        named = F.concat(named, F.lit(" in ["), low.cast("string"), F.lit("/10,"), (low + 1).cast("string"), F.lit("/10]"))
+    value = F.lit(1.0) if bins else entropy
+    return F.when(entropy > 0, F.array(F.struct(named.alias("f"), value.alias("v")))).otherwise(F.array().cast("array<struct<f:string,v:double>>"))
+
+
+def voting(occurrences: DataFrame, keys: list[str], domain: str, least_ratio: float = 0.0, diverse: bool = False, bins: bool = False, aggregate: bool = True) -> DataFrame:
     """Votes of multisets given as rows (keys, name, value, words, lone, only_entropy).
 
-    Emitted are steps of the normalised entropy, steps of the share of the one most frequent value, whether that
+    Emitted are the normalised entropy if it isn't 0, steps of the share of the one most frequent value, whether that
     share is at least 0.9, and the value itself, as its words with ``words``; with ``lone`` also when the multiset
-    has a single element. Ties have no winner. ``only_entropy`` stops after the entropy. Null values are left out.
+    has a single element. Ties have no winner, nor has a share under ``least_ratio``, which ``diverse`` marks.
+    ``only_entropy`` stops after the entropy. Null values are left out. Without ``aggregate`` each value is a feature.
     """
+    if not aggregate:
+        each = occurrences.where("value is not null").select(*keys, F.concat(F.lit(f"{domain} :: "), "name", F.lit(" = "), "value").alias("feature"))
+        return each.groupBy(*keys, "feature").agg(F.count("*").cast("double").alias("value"))
     by = [*keys, "name", "words", "lone", "only_entropy"]
     counts = occurrences.where("value is not null").groupBy(*by, "value").agg(F.count("*").alias("c"))
     # The largest and the smallest of the most frequent values are one if and only if there is no tie.
@@ -47,11 +61,15 @@ def voting(occurrences: DataFrame, keys: list[str], domain: str) -> DataFrame:
     value = F.when(F.col("words"), F.transform(text.bag_of_words(top), lambda w: F.concat(n, F.lit("-majority ~ "), w)))
     value = value.when((F.col("size") > 1) | F.col("lone"), F.array(F.concat(n, F.lit("-majority = "), top))).otherwise(_none())
     alike = F.when(ratio >= 0.9, F.array(F.concat(n, F.when(F.col("size") > 1, "-identical").otherwise("-single")))).otherwise(_none())
-    names = F.concat(
-        F.when(entropy.isNotNull(), _steps(F.concat(n, F.lit("-entropy")), stats.percents(entropy), "%")).otherwise(_none()),
-        F.when(won, F.concat(_steps(F.concat(n, F.lit("-majority-ratio")), stats.percents(ratio), "%"), alike, value)).otherwise(_none()),
-    )
-    return g.select(*keys, F.explode(names).alias("f")).select(*keys, F.concat(F.lit(f"{domain} :: "), "f").alias("feature"), F.lit(1.0).alias("value"))
+    spread = F.array(F.concat(n, F.lit("-diverse"))) if diverse else _none()
+    names = F.when(won, F.concat(_steps(F.concat(n, F.lit("-majority-ratio")), stats.percents(ratio), "%"), F.when(ratio < least_ratio, spread).otherwise(F.concat(alike, value)))).otherwise(_none())
+    pairs = F.concat(entropy_features(n, entropy, bins), F.transform(names, lambda f: F.struct(f.alias("f"), F.lit(1.0).alias("v"))))
+    return g.select(*keys, F.explode(pairs).alias("p")).select(*keys, F.concat(F.lit(f"{domain} :: "), "p.f").alias("feature"), F.col("p.v").alias("value"))
+
+
+def indicators(df: DataFrame, keys: list[str], domain: str, names: Column) -> DataFrame:
+    """A feature of value 1 for each string of the array ``names``."""
+    return df.select(*keys, F.explode(names).alias("f")).select(*keys, F.concat(F.lit(f"{domain} :: "), "f").alias("feature"), F.lit(1.0).alias("value"))
 
 
 def _occurrence(name: str, value: Column, words: bool = False, lone: bool = True, only_entropy: bool = False) -> Column:
@@ -67,13 +85,13 @@ def levels(nodes: DataFrame, groups: DataFrame, depth: int = 5) -> DataFrame:
 
 
 def self_or_ancestors(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Votes on tag, id, class, number of children and place of the nodes at each level; the climb ends at the page's root element."""
+    """Votes on tag, id, class, number of children and place of the nodes at each level; empty ids and classes don't vote. The climb ends at the page's root element."""
     n = levels(nodes, groups)
     many = F.when(F.col("n_children") <= 3, F.col("n_children").cast("string")).otherwise("many")
     rows = n.select(*KEYS, "level", F.inline(F.array(
         _occurrence("tag", F.col("tag")),
-        _occurrence("id", F.coalesce(F.col("attrs")["id"], F.lit("")), words=True),
-        _occurrence("class", F.coalesce(F.col("attrs")["class"], F.lit("")), words=True),
+        _occurrence("id", F.nullif(F.col("attrs")["id"], F.lit("")), words=True),
+        _occurrence("class", F.nullif(F.col("attrs")["class"], F.lit("")), words=True),
         _occurrence("num-children", many),
         _occurrence("child-index", F.col("child_idx"), lone=False),
     )))
@@ -86,11 +104,11 @@ def self_or_ancestors(nodes: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def node_range(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Where a group's first and last nodes stand among its page's nodes in document order, and how far apart."""
+    """Where a group's first and last nodes stand among its page's nodes, counted from 1 in document order, and how far apart."""
     total = nodes.groupBy("page_id", "root_no").agg(F.count("*").alias("n"))
-    low, high, n = F.array_min("node_ids"), F.array_max("node_ids"), F.col("n")
-    names = F.concat(*(_steps(F.lit(k), stats.percents(v / n), "%") for k, v in (("length", high - low + 1), ("start", low), ("end", high))))
-    return groups.join(total, ["page_id", "root_no"]).select(*KEYS, F.explode(names).alias("f")).select(*KEYS, F.concat(F.lit("node-range :: "), "f").alias("feature"), F.lit(1.0).alias("value"))
+    low, high, n = F.array_min("node_ids") + 1, F.array_max("node_ids") + 1, F.col("n")
+    names = F.concat(*(_steps(F.lit(k), stats.percents(v / n), "%") for k, v in (("length", high - low), ("start", low), ("end", high))))
+    return indicators(groups.join(total, ["page_id", "root_no"]), KEYS, "node-range", names)
 
 
 def hole(nodes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -117,23 +135,33 @@ def path_tail(cands: DataFrame, keys: list[str], depth: int = 5) -> DataFrame:
     tag, indexed = F.regexp_replace(step, r"\[.*", ""), F.contains(step, F.lit("[")).cast("string")
     at = F.concat(F.lit("(n-"), F.col("k").cast("string"), F.lit(")-"))
     bare = F.array_join(F.transform(F.slice("steps", -F.col("k"), F.col("k")), lambda s: F.regexp_replace(s, r"\[.*", "")), "/")
-    names = F.array(F.concat(F.lit("suffix = "), bare), F.concat(at, F.lit("tag = "), tag), F.concat(at, F.lit("indexed = "), indexed), F.concat(at, F.lit("tag-indexed = "), tag, F.lit(" "), indexed))
+    names = F.array(F.concat(F.lit("/"), bare), F.concat(at, F.lit("tag = "), tag), F.concat(at, F.lit("indexed = "), indexed), F.concat(at, F.lit("tag-indexed = "), tag, F.lit(" "), indexed))
     return rows.select(*keys, F.explode(names).alias("f")).select(*keys, F.concat(F.lit("path-tail :: "), "f").alias("feature"), F.lit(1.0).alias("value"))
 
 
-def entity(groups: DataFrame) -> DataFrame:
-    """Entropy and repeats of the strings, votes on their words' shapes and number, and that number's mean and deviation."""
-    e = groups.select(*KEYS, F.explode("entities").alias("e")).withColumn("shape", text.phrase_shape(F.col("e"))).withColumn("words", F.split("shape", " "))
-    rows = e.select(*KEYS, F.inline(F.array(
-        _occurrence("entity", F.col("e"), only_entropy=True), _occurrence("phrase-shape", F.col("shape")),
-        _occurrence("collapsed-phrase-shape", F.array_join(text.collapse(F.col("words")), " ")), _occurrence("num-word", F.size("words")),
-    )))
+def entity(groups: DataFrame, count: bool = False, phrase: bool = True, collapsed: bool = False, words: bool = True, mean: bool = True, steps: bool = True) -> DataFrame:
+    """Entropy and repeats of the strings, votes on their words' shapes and number, and that number's mean and deviation.
+
+    ``count`` adds steps of the list's length, ``collapsed`` votes on shapes without repeated words; ``steps=False`` gives mean and deviation as numbers.
+    """
+    e = groups.select(*KEYS, F.explode("entities").alias("e")).withColumn("shape", text.phrase_shape(F.col("e"))).withColumn("words", text.java_split(F.col("shape"), " "))
+    rows = [_occurrence("entity", F.col("e"), only_entropy=True)]
+    rows += [_occurrence("phrase-shape", F.col("shape"))] if phrase else []
+    rows += [_occurrence("collapsed-phrase-shape", F.array_join(text.collapse(F.col("words")), " "))] if collapsed else []
+    rows += [_occurrence("num-word", F.size("words"))] if words else []
     shapes = e.select(*KEYS, F.explode("words").alias("w")).select(*KEYS, F.inline(F.array(_occurrence("word-shape", F.col("w")))))
-    votes = voting(rows.unionByName(shapes), KEYS, "entity")
-    most = e.groupBy(*KEYS, "e").agg(F.count("*").alias("c")).groupBy(*KEYS).agg(F.max("c").alias("c")).where("c > 1")
-    repeats = most.select(*KEYS, F.explode(F.concat(F.array(F.lit("entity-duplicated")), _steps(F.lit("entity-max-dup"), stats.quantized(F.col("c"))))).alias("f")).select(*KEYS, F.concat(F.lit("entity :: "), "f").alias("feature"), F.lit(1.0).alias("value"))
-    mean = stats.mean_dev(e.withColumn("n", F.size("words")), KEYS, "n").select(*KEYS, F.inline(F.array(*(F.struct(F.lit(f"entity :: num-word-{k}").alias("feature"), F.col(k).alias("value")) for k in ("mean", "deviation")))))
-    return votes.unionByName(repeats).unionByName(mean)
+    out = voting(e.select(*KEYS, F.inline(F.array(*rows))).unionByName(shapes), KEYS, "entity")
+    most = e.groupBy(*KEYS, "e").agg(F.count("*").alias("c")).groupBy(*KEYS).agg(F.max("c").alias("c"), F.sum("c").alias("n"))
+    names = _steps(F.lit("entity-max-duplication"), stats.quantized(F.col("c")))
+    names = F.concat(names, _steps(F.lit("num-entities"), stats.quantized(F.col("n")))) if count else names
+    out = out.unionByName(indicators(most, KEYS, "entity", names))
+    if mean:
+        per = stats.mean_dev(e.withColumn("n", F.size("words")), KEYS, "n")
+        if steps:
+            out = out.unionByName(indicators(per, KEYS, "entity", F.concat(*(_steps(F.lit(f"num-word-{k}"), stats.quantized(F.col(k))) for k in ("mean", "deviation")))))
+        else:
+            out = out.unionByName(per.select(*KEYS, F.inline(F.array(*(F.struct(F.lit(f"entity :: num-word-{k}").alias("feature"), F.col(k).alias("value")) for k in ("mean", "deviation"))))))
+    return out
 
 
 def conjoin(features: DataFrame, query_type: str, pattern: str = "^(ling|entity).*", keep: bool = False) -> DataFrame:
