@@ -81,6 +81,84 @@ def general_web(first: Column, second: Column, last: Column, entities: Column) -
     return parts[0].cast("int") + parts[1].cast("int") + parts[2].cast("int")
 
 
+def person_forms(first: Column, middle: Column, last: Column) -> Column:
+    """The ways to write a person's name, with initials and last name first; a middle name of one letter is an initial."""
+    f, m = F.concat(F.substring(first, 1, 1), F.lit(".")), F.concat(F.substring(middle, 1, 1), F.lit("."))
+    short = F.char_length(F.regexp_replace(middle, r"^(.)\.$", "$1")) <= 1
+    join = lambda *parts: F.concat_ws(" ", *parts)
+    behind = lambda *parts: F.concat(last, F.lit(", "), join(*parts))
+    plain = F.array(join(first, last), behind(first), join(f, last), behind(f))
+    full = F.when(short, F.array().cast("array<string>")).otherwise(F.array(join(first, middle, last), behind(first, middle)))
+    return F.when(middle.isNull(), plain).otherwise(F.concat(plain, full, F.array(join(first, m, last), behind(first, m))))
+
+
+def matches_person(forms: Column, predicted: Column) -> Column:
+    return F.coalesce(F.array_contains(forms, predicted), F.lit(False))
+
+
+def raw_reward(correct: Column, gold: Column, slack: float = 0.8) -> Column:
+    """1 if at most ``slack`` gold strings are missed."""
+    return (correct >= gold - slack).cast("double")
+
+
+def rewarded(df: DataFrame, gold: str, predicted: str, zero_one: bool = True, fuzzy: bool = True, criterion: str = "recall", threshold: float = 0.8, generous: bool = False) -> DataFrame:
+    """``df`` with correct, precision, recall, f1, exact and reward, by the kind of answer.
+
+    With ``zero_one`` rows marked ``detailed`` need their ``first``, ``second`` and ``last`` string, the others all of ``gold``
+    and nothing else; without it the reward is the ``criterion`` (precision, recall, f1 or raw) from ``threshold`` on. Strings
+    match by edit distance if ``fuzzy``, else as substrings.
+    """
+    kind = "near" if fuzzy else "substring"
+    out = scored(df, gold, predicted, kind)
+    if not zero_one:
+        reward = raw_reward(F.col("correct"), F.size(gold), threshold) if criterion == "raw" else injective_reward(F.col(criterion), threshold)
+        return out.withColumn("reward", reward)
+    hit = general_web(F.col("first"), F.col("second"), F.col("last"), F.col(predicted))
+    out = out.withColumn("reward", criteria_reward(F.col("exact"), F.col("f1"), generous))
+    detailed = F.coalesce(F.col("detailed"), F.lit(False))
+    share = hit / 3.0
+    web = F.when(share > 0.8, share).otherwise(0.0) if generous else (hit == 3).cast("double")
+    return out.withColumns({"reward": F.when(detailed, web).otherwise(F.col("reward")), "correct": F.when(detailed, hit).otherwise(F.col("correct")), **{c: F.when(detailed, share).otherwise(F.col(c)) for c in ("precision", "recall", "f1")}, "exact": F.when(detailed, hit == 3).otherwise(F.col("exact"))})
+
+
+def against_best(ranked: DataFrame, example: list[str], entities: str) -> DataFrame:
+    """(example, f1_on_best, true_f1_on_best): the first and the first rewarded candidate against the best one's strings, matched nearly; null without a best."""
+    r = ranked.select(*example, "rank", "reward", F.col(entities).alias("e"))
+    best = r.where("reward > 0").groupBy(*example).agg(F.min_by("e", F.struct(-F.col("reward"), F.col("rank"))).alias("gold"), F.min_by("e", "rank").alias("true"))
+    top = r.where("rank = 1").select(*example, F.col("e").alias("top")).join(best, example, "left")
+    first = scored(top.where("gold is not null"), "gold", "top").select(*example, F.col("f1").alias("f1_on_best"), "gold", "true")
+    both = scored(first, "gold", "true").select(*example, "f1_on_best", F.col("f1").alias("true_f1_on_best"))
+    return top.select(*example).join(both, example, "left")
+
+
+def distinct_rewards(df: DataFrame, gold: str, predicted: str, key: list[str], **how) -> DataFrame:
+    """As ``rewarded``, each different list of an example matched once."""
+    gold_of = [c for c in (gold, "first", "second", "last", "detailed") if c in df.columns]
+    each = rewarded(df.select(*key, predicted, *gold_of).dropDuplicates([*key, predicted]), gold, predicted, **how)
+    return df.join(each.drop(*gold_of), [*key, predicted])
+
+
+def containing(ranked: DataFrame, seed: str, entities: str, kind: str = "near") -> DataFrame:
+    """Candidates with a string that fits the seed, itself a column."""
+    return ranked.where(F.exists(entities, lambda e: matches(F.col(seed), e, kind)))
+
+
+def learning_curve(iterations: list[tuple[DataFrame, DataFrame]], f1: str = "mean_f1") -> DataFrame:
+    """(iteration, train_accuracy, train_oracle, train_f1, test_..) of the summaries after each pass."""
+    rows = None
+    for i, pair in enumerate(iterations):
+        sides = [s.select(F.col("accuracy").alias(f"{n}_accuracy"), F.col("oracle").alias(f"{n}_oracle"), F.col(f1).alias(f"{n}_f1")) for n, s in zip(("train", "test"), pair)]
+        row = sides[0].join(sides[1]).select(F.lit(i + 1).alias("iteration"), "*")  # two tables of one row
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+def outputs(summaries: DataFrame, prefix: str) -> DataFrame:
+    """(prefix, key, value) of a one-row summary."""
+    names = [c for c, t in summaries.dtypes if t in ("double", "bigint", "int")]
+    return summaries.select(F.lit(prefix).alias("prefix"), F.inline(F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("double").alias("value")) for n in names])))
+
+
 def criteria_reward(exact: Column, f1: Column, generous: bool = False) -> Column:
     """1 where all criteria hold; a generous one is the F1 above 0.8."""
     return F.when(f1 > 0.8, f1).otherwise(0.0) if generous else exact.cast("double")

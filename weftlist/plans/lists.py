@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from weftlist.functions import text
 from weftlist.operators import candidates, evaluation, features, learning, ranking
-from weftlist.plans.registry import query, table
+from weftlist.plans.registry import query, shared_folder, table
 from weftlist.sources import html
 
 KEYS = features.KEYS
@@ -17,31 +14,20 @@ KEYS = features.KEYS
 
 def _kept(df, name):
     """``df`` written to the shared folder and read again: pages are parsed once, however often their nodes are used."""
-    path = f"{_folder(df.sparkSession)}/{name}"
+    path = f"{shared_folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _groups(s, d):
     nodes = _kept(html.nodes(table(s, d, "pages")), "nodes")
-    groups = candidates.groups(candidates.candidates(nodes)).withColumn("group_id", F.xxhash64("node_ids"))
-    return nodes, _kept(groups, "groups")
+    return nodes, _kept(candidates.groups(candidates.candidates(nodes), 2), "groups")
 
 
 def _candidates(s, d):
     return candidates.candidates(_kept(html.nodes(table(s, d, "pages")), "nodes"))
 
 
-def _folder(spark):
-    """A fresh folder that executors share."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="weftlist-")
-    return f"{folder.rstrip('/')}/weftlist-{os.urandom(8).hex()}"
-
-
 @query()
 def features_self_or_ancestors(s, d):
     return features.self_or_ancestors(*_groups(s, d))
@@ -71,17 +57,17 @@ def features_path_tail(s, d):
 VOTES = """WITH c AS (SELECT o_custkey, o_orderpriority AS v, count(*) AS c FROM orders GROUP BY ALL),
 g AS (SELECT o_custkey, sum(c) AS size, count(*) AS kinds, max(c) AS top, sum(c * ln(c)) AS clnc FROM c GROUP BY o_custkey),
 w AS (SELECT g.*, CASE WHEN count(*) = 1 THEN max(c.v) END AS won FROM g JOIN c ON g.o_custkey = c.o_custkey AND c.c = g.top GROUP BY ALL),
-f AS (SELECT o_custkey, 'p-entropy >= ' || i || '%' AS f FROM w, (VALUES (0), (20), (40), (60), (80), (100)) t(i) WHERE kinds > 1 AND i <= least(100 * (1 - clnc / size / ln(size)), 100)
-UNION ALL SELECT o_custkey, 'p-majority-ratio >= ' || i || '%' FROM w, (VALUES (0), (20), (40), (60), (80), (100)) t(i) WHERE won IS NOT NULL AND i <= least(top / size * 100, 100)
+f AS (SELECT o_custkey, 'p-majority-ratio >= ' || i || '%' AS f FROM w, (VALUES (0), (20), (40), (60), (80), (100)) t(i) WHERE won IS NOT NULL AND i <= least(top / size * 100, 100)
 UNION ALL SELECT o_custkey, CASE WHEN size > 1 THEN 'p-identical' ELSE 'p-single' END FROM w WHERE won IS NOT NULL AND top / size >= 0.9
 UNION ALL SELECT o_custkey, 'p-majority = ' || won FROM w WHERE won IS NOT NULL AND size > 1)
-SELECT o_custkey, 'orders :: ' || f AS feature, 1.0::DOUBLE AS value FROM f"""
+SELECT o_custkey, 'orders :: ' || f AS feature, 1.0::DOUBLE AS value FROM f
+UNION ALL SELECT o_custkey, 'orders :: p-normalized-entropy', round(1 - clnc / size / ln(size), 6) FROM w WHERE kinds > 1"""
 
 
 @query(VOTES)
 def voting_features(s, d):
     rows = table(s, d, "orders").select("o_custkey", F.lit("p").alias("name"), F.col("o_orderpriority").alias("value"), F.lit(False).alias("words"), F.lit(False).alias("lone"), F.lit(False).alias("only_entropy"))
-    return features.voting(rows, ["o_custkey"], "orders")
+    return features.voting(rows, ["o_custkey"], "orders").withColumn("value", F.round("value", 6))
 
 
 @query("SELECT p_partkey, CASE WHEN starts_with(p_type, 'E') THEN coalesce(p_brand, 'null') ELSE 'ALL' END || ' ' || p_type AS feature FROM part")
@@ -143,7 +129,7 @@ def train_path_ranker(s, d):
     keys = ["page_id", "root_no", "xpath"]
     f = features.common(features.path_tail(c, keys), ["page_id"])
     rewards = c.select(*keys, F.contains("xpath", F.lit("nav")).cast("double").alias("reward"))
-    out = learning.train(f, rewards, ["page_id"], ["root_no", "xpath"], folder=_folder(s))
+    out = learning.train(f, rewards, ["page_id"], ["root_no", "xpath"], folder=shared_folder(s))
     return learning.prune(out, 1e-4).select("feature", F.round("weight", 6).alias("weight"))
 
 
@@ -153,7 +139,8 @@ def baseline_suffixes(s, d):
     return learning.suffix_counts(c.withColumn("reward", F.contains("xpath", F.lit("nav")).cast("int")))
 
 
-@query("""SELECT a.vec_id, round(CAST(a.embedding[1] AS DOUBLE) * (0.5 * a.embedding[1] - a.embedding[2]) + CAST(a.embedding[2] AS DOUBLE) * (2.0 * a.embedding[1] + 0.25 * a.embedding[2]), 6) AS score FROM embeddings a""")
+@query("""WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)
+SELECT vec_id, round(x * (0.5 * x - y) + y * (2.0 * x + 0.25 * y), 6) AS score FROM e""")
 def bilinear_score(s, d):
     x = F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double"))
     matrix = F.array(F.array(F.lit(0.5), F.lit(-1.0)), F.array(F.lit(2.0), F.lit(0.25)))
