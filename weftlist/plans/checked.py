@@ -352,3 +352,79 @@ def head_words(s, d):
     cases = [f"array({tok(a, 'JJ', 'O')}, {tok(b, 'NN', 'O')}, {tok(a, 'JJ', 'O')}, {tok(chr(39) + 'in' + chr(39), 'IN', 'O')}, {tok('p_type', 'NN', 'O')})", f"array({tok(a, 'NN', 'PERSON')}, {tok(chr(39) + 'in' + chr(39), 'IN', 'O')}, {tok('p_brand', 'CD', 'O')})", f"array({tok('p_type', 'NN', 'O')}, {tok(b, 'CD', 'NUMBER')})"]
     tokens = F.expr(f"case p_size % 3 when 0 then {cases[0]} when 1 then {cases[1]} else {cases[2]} end")
     return table(s, d, "part").withColumn("t", tokens).select("p_partkey", ling.head_word(F.col("t"), F.col("t")).alias("head"))
+
+
+@query("SELECT p_partkey, upper(p_name) AS norm, 'A A' AS shape, list_sort(list_distinct(string_split(upper(p_name), ' '))) AS bag, string_split(p_name, ' ') AS tokens FROM part")
+def sql_functions(s, d):
+    """The functions registered for SQL, called from SQL."""
+    from weftlist.functions import sql
+
+    sql.register(s)
+    table(s, d, "part").createOrReplaceTempView("weftlist_part")
+    return s.sql("SELECT p_partkey, list_ws_normalize(concat('  ', replace(upper(p_name), ' ', '  '))) AS norm, list_phrase_shape(upper(p_name)) AS shape, list_bag_of_words(upper(p_name)) AS bag, list_tokens(upper(p_name)) AS tokens FROM weftlist_part")
+
+
+@query("SELECT p.page_id, len(regexp_extract_all(p.html, '<li[ >]')) AS items FROM pages p")
+def sql_html_nodes(s, d):
+    """The page parser as a table function in SQL."""
+    from weftlist.functions import sql
+
+    sql.register(s)
+    table(s, d, "pages").createOrReplaceTempView("weftlist_pages")
+    return s.sql("SELECT p.page_id, count_if(n.tag = 'li' AND n.root_no = 0) AS items FROM weftlist_pages p, LATERAL html_nodes(p.html) n GROUP BY p.page_id")
+
+
+FACTS = """WITH f AS (SELECT 'fb:m' || p_partkey AS e, p_name AS entity, lower(p_type) || CASE WHEN p_size % 2 = 0 THEN ' city/day' ELSE ' glass' END AS t FROM part WHERE p_size % 5 <> 0)"""
+
+
+def _facts(s, d):
+    p = table(s, d, "part").select(F.expr("concat(if(p_size % 5 = 0, 'fb:user', 'fb:m'), p_partkey)").alias("id"), "p_name", F.expr("concat(lower(p_type), if(p_size % 2 = 0, ' city/day', ' glass'))").alias("t"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"@en.'))
+    names = p.select("id", quoted(F.col("p_name")).alias("name")).unionByName(p.select(F.concat(F.lit("fb:t"), F.md5("t")).alias("id"), quoted(F.col("t")).alias("name")).distinct())
+    return names, p.select(F.col("id").alias("entity_id"), F.concat(F.lit("fb:t"), F.md5("t"), F.lit(".")).alias("type_id"))
+
+
+@query(f"{FACTS} SELECT t AS type, entity, count(*) AS n FROM f GROUP BY ALL")
+def typed_entities(s, d):
+    from weftlist.operators import typed
+
+    return typed.pairs(*_facts(s, d)).groupBy("type", "entity").agg(F.count("*").alias("n"))
+
+
+@query(f"""{FACTS}, h AS (SELECT unnest(CASE WHEN contains(t, 'glass') THEN ['glasses'] ELSE ['cities', 'daies'] END) AS head, CASE WHEN starts_with(entity, 's') THEN 'S a' ELSE 'a a' END AS r FROM f)
+SELECT 'head' AS kind, CASE WHEN starts_with(head, 'd') THEN 'D' ELSE 'a' END AS left_repn, r AS entity_repn, count(*) AS n FROM h GROUP BY ALL UNION ALL SELECT 'type', t, CASE WHEN starts_with(entity, 's') THEN 'S a' ELSE 'a a' END, count(*) FROM f GROUP BY ALL""")
+def typed_counts(s, d):
+    """Counts by type and by the plural of its head; the clusters are S for names' first words with s, D for the plural of day."""
+    from weftlist.operators import typed
+
+    first = table(s, d, "part").select(F.split("p_name", " ")[0].alias("word")).distinct().where("word like 's%'").withColumn("cluster", F.lit("S"))
+    second = table(s, d, "part").select(F.split("p_name", " ")[1].alias("word")).distinct()
+    clusters = first.join(second, "word", "left_anti").unionByName(s.createDataFrame([("daies", "D")], "word string, cluster string"))
+    a, b = typed.counts(typed.pairs(*_facts(s, d)), clusters)
+    return b.select(F.lit("head").alias("kind"), F.col("type_repn").alias("left_repn"), "entity_repn", "n").unionByName(a.select(F.lit("type").alias("kind"), F.col("type").alias("left_repn"), "entity_repn", "n"))
+
+
+@query("""WITH r AS (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS k FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON o_custkey = c_custkey)
+SELECT c_custkey, o_orderkey FROM r WHERE k = 1""")
+def predicted_answers(s, d):
+    """The best finished order of each customer, null for one without."""
+    from weftlist.operators import presets
+
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.col("o_totalprice").alias("score"), F.col("o_orderpriority").alias("entities"), "o_orderstatus")
+    return presets.answers(table(s, d, "customer").select("c_custkey"), o, ["c_custkey"], ["o_orderkey"], F.expr("o_orderstatus = 'F'")).select("c_custkey", "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3")
+def beam_of_three(s, d):
+    from weftlist.operators import presets
+
+    o = table(s, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("score"), F.col("o_orderpriority").alias("entities"))
+    return presets.beam(o, ["o_custkey"], ["o_orderkey"], 3).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT event_id, unnest([value / 100, value / 100 * value / 100]) AS v, generate_subscripts([1, 2], 1) AS i FROM events WHERE value BETWEEN 0 AND 100")
+def quadratic_shares(s, d):
+    from weftlist.functions import stats
+
+    e = table(s, d, "events").where("value between 0 and 100")
+    return e.select("event_id", F.posexplode(stats.quadratic(F.col("value") / 100)).alias("i", "v")).select("event_id", "v", (F.col("i") + 1).cast("long").alias("i"))
