@@ -115,3 +115,17 @@ def test_loose_paths(spark):
 
 def paths_key(path):
     return tuple(tuple(s) for s in path)
+
+
+def test_near_pairs(spark):
+    """Meeting by deletions finds all pairs that the pairwise rule does."""
+    import itertools
+    import random
+
+    from weftlist.operators import evaluation
+
+    rng = random.Random(6)
+    words = ["", "a", *{"".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(60)}]
+    df = spark.createDataFrame([(w,) for w in words], "value string")
+    pairs = spark.createDataFrame(list(itertools.product(words, words)), "gold string, predicted string").where(evaluation.matches(F.col("gold"), F.col("predicted")))
+    assert {tuple(r) for r in evaluation.near_pairs(df, df).collect()} == {tuple(r) for r in pairs.collect()}

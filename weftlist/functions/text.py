@@ -92,6 +92,13 @@ def near(a: Column, b: Column, limit: int) -> Column:
     return F.coalesce((F.abs(F.char_length(a) - F.char_length(b)) <= limit) & F.when(a == "", F.char_length(b) <= limit).otherwise(hit), F.lit(False))
 
 
+def deletions(c: Column) -> Column:
+    """A string and all that is left of it without one or two characters: strings within edit distance 2 have one of these in common."""
+    cut = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.char_length(s)))
+    end = F.char_length(c) + 1  # a place behind the string takes nothing away
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), end), lambda j: F.transform(F.sequence(F.lit(1), j), lambda i: F.when(i < j, cut(cut(c, j), i)).otherwise(cut(c, j))))))
+
+
 # Rewrites of a phrase before its head word is sought.
 PHRASE_REWRITES = [(" wiki(pedia)?$", ""), ("^(type|name) of ", ""), (r" (episodes?) (season \d+)$", " $1 of $2")]
 

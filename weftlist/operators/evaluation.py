@@ -52,6 +52,13 @@ def _matching(edges: pd.Series) -> pd.Series:
     return edges.map(lambda rows: 0 if rows is None else size(rows))
 
 
+def near_pairs(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(gold, predicted) of two tables of strings (value) that fit nearly, each pair once: strings meet by what is left of both after up to two deletions."""
+    sides = [t.select(F.col("value").alias(n)).where("value is not null").distinct().select(n, F.explode(text.deletions(F.col(n))).alias("rest")) for t, n in ((gold, "gold"), (predicted, "predicted"))]
+    met = sides[0].join(sides[1], "rest").select("gold", "predicted").distinct()
+    return met.where(matches(F.col("gold"), F.col("predicted")))
+
+
 def n_equal(gold: Column, predicted: Column) -> Column:
     """The most gold strings that can be given an equal predicted string each."""
     return F.aggregate(F.array_distinct(gold), F.lit(0), lambda n, v: n + F.least(F.size(F.filter(gold, lambda x: x == v)), F.size(F.filter(predicted, lambda x: x == v))))

@@ -428,3 +428,60 @@ def quadratic_shares(s, d):
 
     e = table(s, d, "events").where("value between 0 and 100")
     return e.select("event_id", F.posexplode(stats.quadratic(F.col("value") / 100)).alias("i", "v")).select("event_id", "v", (F.col("i") + 1).cast("long").alias("i"))
+
+
+@query("""WITH x AS (SELECT p_partkey, ['html', 'body', 'ul', 'li'] AS t, [true, false, p_size % 2 = 0, p_size % 3 = 0] AS i FROM part)
+SELECT p_partkey, 'path-tail :: /' || array_to_string(t[5 - k:4], '/') AS feature FROM x, range(1, 5) r(k)
+UNION ALL SELECT p_partkey, 'path-tail :: (n-' || k || ')-tag = ' || t[5 - k] FROM x, range(1, 5) r(k)
+UNION ALL SELECT p_partkey, 'path-tail :: (n-' || k || ')-indexed = ' || i[5 - k] FROM x, range(1, 5) r(k)
+UNION ALL SELECT p_partkey, 'path-tail :: (n-' || k || ')-tag-indexed = ' || t[5 - k] || ' ' || i[5 - k] FROM x, range(1, 5) r(k)""")
+def features_path_tail_parts(s, d):
+    xpath = F.expr("concat('/html[1]/body/ul', if(p_size % 2 = 0, '[2]', ''), '/li', if(p_size % 3 = 0, '[1]', ''))")
+    return features.path_tail(table(s, d, "part").select("p_partkey", xpath.alias("xpath")), ["p_partkey"]).select("p_partkey", "feature")
+
+
+# A page for each region: a list for each nation with suppliers, an item for each supplier; nodes numbered in document order.
+_PLACES = """WITH n AS (SELECT n_regionkey AS page_id, n_nationkey, count(*) AS c, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey),
+u AS (SELECT *, 1 + coalesce(sum(c + 1) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre, count(*) OVER (PARTITION BY page_id) AS lists FROM n),
+s AS (SELECT page_id, n_nationkey, i, c, pre, lists, s_suppkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) - 1 AS j FROM supplier JOIN u ON s_nationkey = n_nationkey)"""
+
+
+def _supplier_pages(s, d):
+    for name in ("nation", "supplier"):
+        table(s, d, name).createOrReplaceTempView(name)
+    node = "int(pre + 1 + j) AS pre_id, int(pre) AS parent_id, 4 AS depth, 'li' AS tag, int(j) AS child_idx, int(c) AS n_sib, 0 AS n_children, array(0, int(pre)) AS ancestors, array('html', 'ul', 'li') AS tags"
+    above = "SELECT page_id, int(pre) AS pre_id, 0 AS parent_id, 3 AS depth, 'ul' AS tag, int(i) AS child_idx, int(lists) AS n_sib, int(c) AS n_children, array(0) AS ancestors, array('html', 'ul') AS tags FROM u"
+    top = "SELECT DISTINCT page_id, 0 AS pre_id, cast(null AS int) AS parent_id, 2 AS depth, 'html' AS tag, 0 AS child_idx, 1 AS n_sib, int(lists) AS n_children, cast(array() AS array<int>) AS ancestors, array('html') AS tags FROM u"
+    nodes = s.sql(f"{_PLACES} SELECT page_id, {node} FROM s UNION ALL {above} UNION ALL {top}")
+    nodes = nodes.withColumns({"root_no": F.lit(0), "child_idx_tag": F.col("child_idx"), "n_sib_tag": F.col("n_sib"), "attrs": F.expr("cast(map() as map<string,string>)")})
+    chosen = s.sql(f"{_PLACES} SELECT page_id, array_sort(collect_list(int(pre + 1 + j))) AS node_ids FROM s WHERE s_suppkey % 3 <> 0 GROUP BY page_id")
+    return nodes, chosen.select("page_id", F.lit(0).alias("root_no"), F.lit(1).cast("long").alias("group_id"), "node_ids", F.transform("node_ids", lambda x: x.cast("string")).alias("entities"))
+
+
+@query(f"""{_PLACES}, g AS (SELECT page_id, min(pre + 2 + j) FILTER (s_suppkey % 3 <> 0) AS low, max(pre + 2 + j) FILTER (s_suppkey % 3 <> 0) AS high, 1 + max(lists) + count(*) AS n FROM s GROUP BY page_id),
+v AS (SELECT page_id, unnest(['length', 'start', 'end']) AS what, unnest([(high - low) / n, low / n, high / n]) AS x FROM g WHERE low IS NOT NULL)
+SELECT page_id, 'node-range :: ' || what || ' >= ' || i || '%' AS feature, 1.0 AS value FROM v, {STEPS} WHERE i <= least(x * 100, 100)""")
+def features_node_range_suppliers(s, d):
+    return _out(features.node_range(*_supplier_pages(s, d)))
+
+
+_HOLES = "[CASE WHEN bool_or(n = 1) THEN 'single' END, CASE WHEN bool_or(n > 1 AND n = a) THEN 'any-all' END, CASE WHEN bool_or(n > 1 AND n = a) THEN 'tag-all' END, CASE WHEN bool_or(low > 0) THEN 'any-hole-top' END, CASE WHEN bool_or(low > 0) THEN 'tag-hole-top' END, CASE WHEN bool_or(high - low + 1 <> n) THEN 'any-hole-middle' END, CASE WHEN bool_or(high - low + 1 <> n) THEN 'tag-hole-middle' END, CASE WHEN bool_or(high < a - 1) THEN 'any-hole-bottom' END, CASE WHEN bool_or(high < a - 1) THEN 'tag-hole-bottom' END]"
+
+
+@query(f"""{_PLACES}, p AS (SELECT page_id, n_nationkey, i, lists, count(*) AS n, min(j) AS low, max(j) AS high, max(c) AS a FROM s WHERE s_suppkey % 3 <> 0 GROUP BY ALL),
+q AS (SELECT page_id, count(*) AS n, min(i) AS low, max(i) AS high, max(lists) AS a FROM p GROUP BY page_id),
+f AS (SELECT page_id, 'ul/li-' AS pre, unnest({_HOLES}) AS x FROM p GROUP BY page_id UNION ALL SELECT page_id, 'html/ul-', unnest({_HOLES}) FROM q GROUP BY page_id)
+SELECT page_id, 'hole :: ' || pre || x AS feature, 1.0 AS value FROM f WHERE x IS NOT NULL""")
+def features_hole_suppliers(s, d):
+    return _out(features.hole(*_supplier_pages(s, d)))
+
+
+@query(f"""{_PLACES}, k AS (SELECT page_id, n_nationkey, lists, i, count(*) AS n, max(c) AS a FROM s WHERE s_suppkey % 3 <> 0 GROUP BY ALL),
+li AS (SELECT page_id AS k, CAST(j AS VARCHAR) AS v FROM s WHERE s_suppkey % 3 <> 0), ul AS (SELECT page_id AS k, CASE WHEN a <= 3 THEN CAST(a AS VARCHAR) ELSE 'many' END AS c, CAST(i AS VARCHAR) AS v FROM k), top AS (SELECT page_id AS k, sum(n) AS n, sum(a) AS a, count(*) AS lists, max(lists) AS whole FROM k GROUP BY page_id),
+one AS ({_votes("tag", "SELECT k, 'li' AS v FROM li")} UNION ALL {_votes("num-children", "SELECT k, '0' AS v FROM li")} UNION ALL {_votes("child-index", "SELECT k, v FROM li")} UNION ALL {_percent("children-of-parent", "n / a", "top")} UNION ALL SELECT k, 'same-parent', 1.0 FROM top WHERE lists = 1),
+two AS ({_votes("tag", "SELECT k, 'ul' AS v FROM ul")} UNION ALL {_votes("num-children", "SELECT k, c AS v FROM ul")} UNION ALL {_votes("child-index", "SELECT k, v FROM ul")} UNION ALL {_percent("children-of-parent", "lists / whole", "top")} UNION ALL SELECT k, 'same-parent', 1.0 FROM top)
+SELECT page_id, 'self-or-ancestors :: ' || feature AS feature, round(sum(value), 6) AS value FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE NOT (starts_with(feature, 'child-index-majority =') AND page_id IN (SELECT k FROM top WHERE n = 1)) GROUP BY page_id, feature""")
+def features_ancestors_suppliers(s, d):
+    """The items chosen and their lists; the page's root is no level of its own."""
+    nodes, groups = _supplier_pages(s, d)
+    return _out(features.self_or_ancestors(nodes.where("depth > 2"), groups))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftlist.functions import ling, stats, text
-from weftlist.operators import candidates, features, learning, ranking
+from weftlist.operators import candidates, evaluation, features, learning, ranking
 from weftlist.sources import datasets, html
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,10 +144,8 @@ def quantized(s, d):
 SELECT a.p_name AS gold, b.p_name AS predicted FROM d a JOIN d b ON abs(length(a.p_name) - length(b.p_name)) <= 2 AND a.p_name <> b.p_name AND
 list_min(list_transform(range(0, least(3, length(b.p_name))), lambda j: j + CAST(substr(a.p_name, 1, 1) <> substr(b.p_name, CAST(j AS INT) + 1, 1) AS INT) + levenshtein(substr(a.p_name, 2), substr(b.p_name, CAST(j AS INT) + 2)))) <= 2""")
 def near_match_join(s, d):
-    names = table(s, d, "part").select("p_name").distinct()
-    a = names.select(F.col("p_name").alias("gold"), F.explode(F.sequence(F.char_length("p_name") - 2, F.char_length("p_name") + 2)).alias("n"))
-    b = names.select(F.col("p_name").alias("predicted"), F.char_length("p_name").alias("n"))
-    return a.join(b, "n").where("gold <> predicted").where(text.near(F.col("gold"), F.col("predicted"), 2)).select("gold", "predicted")
+    names = table(s, d, "part").select(F.col("p_name").alias("value"))
+    return evaluation.near_pairs(names, names).where("gold <> predicted")
 
 
 @query("""WITH n AS (SELECT count(*) AS n FROM customer)
