@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlist.llm.tables import keep
-from weftlist.llm.words import ALNUM, SLICE_BYTES, U, Words, grams, text_slices
+from weftlist.llm.words import ALNUM, SLICE_BYTES, U, Words, grams, lean, text_slices
 
 #: Benchmark text bytes that one pass over the documents takes; a larger benchmark goes in several.
 BLOCK_BYTES = 8 << 20
@@ -103,7 +103,7 @@ class _View:
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 8, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_key, doc_id, n_words, spans array of (first word, end word), items array of item_id) of every document.
+    """(doc_id, n_words, spans array of (first word, end word), items array of item_id) of every document.
 
     Words are runs of ASCII letters and digits and of non-ASCII bytes, A-Z lower-cased. A window is
     ``window`` consecutive words of an item, or all of an item with fewer but not none. Spans are
@@ -139,11 +139,11 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 8, k
                 if n_words:
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n_words)), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array(found, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
 
-        passes.append((docs if blocks == 1 else source).mapInArrow(run, schema) if blocks == 1 else None)
+        passes.append((docs if blocks == 1 else source).mapInArrow(lean(run), schema) if blocks == 1 else None)
         if blocks > 1:
             if block == 0:
                 source = keep(docs.withColumn("row_key", F.expr("uuid()")), "rows")
-            passes[-1] = source.select(F.struct("doc_id", "row_key").alias("key"), "text").mapInArrow(_keyed(run), "key struct<doc_id:long,row_key:string>, " + schema.partition(", ")[2])
+            passes[-1] = source.select(F.struct("doc_id", "row_key").alias("key"), "text").mapInArrow(lean(_keyed(run)), "key struct<doc_id:long,row_key:string>, " + schema.partition(", ")[2])
     if blocks == 1:
         return passes[0]
     whole = passes[0]
@@ -181,7 +181,11 @@ def join_spans(column: str):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least_items: int = 2, **options) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (at least ``least_items`` items occur), items and spans of every document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (at least ``least_items`` items occur), items and spans of every document.
+
+    Null and blank texts have no words and no items, as has every text beside an empty benchmark; repeated rows and rows of a
+    null id each give a row; other columns are ignored. See :func:`contaminated_spans`.
+    """
     found = contaminated_spans(docs, benchmark, **options)
     return found.select(
         "doc_id", "n_words",

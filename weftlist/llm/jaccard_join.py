@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from weftlist.llm.components import components
 from weftlist.llm.tables import BROADCAST_IDS, keep, only_ids, parts, plan_bytes
-from weftlist.llm.words import SPACED, U, Words, distinct_by_row, grams, mix, text_slices
+from weftlist.llm.words import SPACED, U, Words, distinct_by_row, grams, lean, mix, text_slices
 
 #: A signature of more documents than this is listed in runs and under its own name, not under its documents.
 HOT = 64
@@ -41,7 +41,7 @@ HOT = 64
 COMMON = 250_000
 #: Shingles that a map task counts at a time, and signatures that it holds before it writes them out by bucket.
 COUNTED = 4_000_000
-BLOCK = 1_000_000
+BLOCK = 500_000
 #: Bytes kept of a signature beside its bucket: meetings by chance are found out when sets are compared.
 SIG_BYTES = 5
 #: Input bytes for each bucket of signatures.
@@ -168,7 +168,7 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
         if held:
             yield counts(held)
 
-    found = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(f"n > {HOT}")
+    found = docs.select("text").mapInArrow(lean(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(f"n > {HOT}")
     top = found.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").toArrow()
     return np.sort(top.column(0).to_numpy().view(U))
 
@@ -186,7 +186,7 @@ def set_table(docs: DataFrame, width: int, common) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in zip(*out))], ["doc_id", "n_shingles", "k1", "k2", "shared", "deep"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, shared long, deep boolean")
+    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, k1 long, k2 long, shared long, deep boolean")
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -325,7 +325,7 @@ def set_rows(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 held = pa.array([value[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(held)), held], ["doc_id", "grams"])
 
-    return keep(only_ids(docs, ids).mapInArrow(sets, "doc_id long, grams binary").dropDuplicates(["doc_id"]), "grams")
+    return keep(only_ids(docs, ids).mapInArrow(lean(sets), "doc_id long, grams binary").dropDuplicates(["doc_id"]), "grams")
 
 
 def verified(pairs: DataFrame, grams_of: DataFrame, percent: int = 75) -> DataFrame:
@@ -400,7 +400,10 @@ def _tiles(percent: int):
         value = np.frombuffer(b"".join(x[2] for x in held), np.int64)
         left, right = np.flatnonzero(first), np.flatnonzero(second)
         shared = shared_counts(value, np.concatenate([[0], np.cumsum(size)]), left, right)
-        good = 100 * shared >= percent * (size[left][:, None] + size[right][None, :] - shared)
+        good = np.zeros(shared.shape, bool)
+        for low in range(0, len(left), 256):  # whole numbers of 8 bytes, a few rows at a time
+            part = slice(low, low + 256)
+            good[part] = (100 + percent) * shared[part].astype(np.int64) >= percent * (size[left[part]][:, None] + size[right][None, :])
         label = np.unique(np.array([x[1] for x in held]), return_inverse=True)[1]
         return [(held[i][0], held[j][0]) for i, j in forest(good, left, right, label)]
 
@@ -441,7 +444,7 @@ def tiled_links(rows: DataFrame, grams_of: DataFrame, percent: int) -> DataFrame
     rows = rows.join(grams_of.withColumnRenamed("doc_id", "rep"), "rep")
     spark = rows.sparkSession
     rows = rows.repartition(parts(spark), "tile").sortWithinPartitions("tile")
-    return keep(rows.mapInArrow(_tiles(percent), "a long, b long"), "links")
+    return keep(rows.mapInArrow(lean(_tiles(percent)), "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -470,7 +473,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     emitting, spare = docs.where("doc_id is not null"), copies.where("doc_id <> rep").select("doc_id").distinct()
     if not again and spare.count() <= BROADCAST_IDS:
         emitting = emitting.join(F.broadcast(spare), "doc_id", "left_anti")
-    packed = emitting.mapInArrow(_emit(width, buckets, common), "bucket int, sigs binary, first long, steps binary")
+    packed = emitting.mapInArrow(lean(_emit(width, buckets, common)), "bucket int, sigs binary, first long, steps binary")
     met = packed.groupBy("bucket").applyInArrow(_meet, "hot long, bucket int, ids array<long>, weight long, size long")
     met = keep(met, "met")
 

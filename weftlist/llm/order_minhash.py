@@ -20,7 +20,10 @@ _PLACE = 28  # bits of a token's place
 
 
 def sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds ``name``: an array of SKETCHES hex strings, '' for a group without k-mers. Shorter texts are one k-mer; null is empty."""
+    """Adds ``name``: an array of SKETCHES hex strings, '' for a group without k-mers.
+
+    Texts of fewer tokens than a k-mer are one k-mer; null, empty and blank texts have none, so all groups are ''. Equal texts have equal sketches.
+    """
     mask, bins = (1 << _PLACE) - 1, SKETCHES
     runs = "regexp_extract_all(_x, '\\\\S+', 0)"
     inner = f"transform({runs}, w -> if(char_length(w) <= {TOKEN}, array(w), regexp_extract_all(w, '(?=(\\\\S{{{INNER}}}))', 1)))"

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlist.llm.tables import keep
-from weftlist.llm.words import _SALT, U, _powers, mix
+from weftlist.llm.words import U, _SALT, _powers, lean, mix
 
 #: Pieces of text whose ids a worker keeps; code points that it encodes at once.
-CACHE_PIECES = 1_000_000
-SLICE_CHARS = 2 << 20
+CACHE_PIECES = 500_000
+SLICE_CHARS = 1 << 20
 #: Steps of the search for fewer sequences; a filling that is looked at counts as many as there are lengths.
 WORK = 4_000_000
 
@@ -166,7 +166,10 @@ def encoder_of(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, part, nth): only longer documents are cut; the first piece takes what is over."""
+    """(doc_id, piece, start, length, ids_crc32, part, nth): only longer documents are cut; the first piece takes what is over.
+
+    A null or empty text is one piece of length 1, the end mark. Repeated rows and rows of a null id have pieces of their own.
+    """
 
     def run(batches):
         encoder, part, count = encoder_of(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
@@ -185,7 +188,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> D
                         at, k, size = at + size, k + 1, capacity
                 yield pa.RecordBatch.from_pydict(rows, pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())]))
 
-    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return docs.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
 def _reach(counts: np.ndarray, sizes: list[int], room: int) -> list[int]:
@@ -413,4 +416,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "d
             at = np.searchsorted(key, length << 44 | rank, "right") - 1
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(t[at, 3] + rank - t[at, 1]), pa.array(t[at, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return cut.join(before, ["length", "part"]).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return cut.join(before, ["length", "part"]).mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

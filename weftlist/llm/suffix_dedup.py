@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from weftlist.llm.contamination import merge
 from weftlist.llm.tables import BROADCAST_IDS, keep, only_ids, parts
-from weftlist.llm.words import _BYTE, _SALT, U, _powers, mix, text_slices
+from weftlist.llm.words import U, _BYTE, _SALT, _powers, lean, mix, text_slices
 
 GRAM = 32
 #: Bytes that a suffix array holds; different stretches of an anchor that meet in one array, and the ranges that more are split by.
@@ -342,11 +342,11 @@ def shared_windows(bodies: DataFrame, length: int, split: int = SPLIT, level: in
     kinds = keep(kinds, "kinds")
     met = bodies.join(kinds, "g")
     rows = met.where(f"kinds <= {split}").select("g", "k", "body").repartition(parts(spark), "g").sortWithinPartitions("g", "k")
-    out = rows.mapInArrow(_arrays(length), "g long, k long, a int, b int")
+    out = rows.mapInArrow(lean(_arrays(length)), "g long, k long, a int, b int")
     if level == len(RANGES) or kinds.where(f"kinds > {split}").isEmpty():
         return out
     large = met.where(f"kinds > {split}").select("g", "k", "anchor", "body").dropDuplicates(["g", "k"])
-    cut = keep(large.mapInArrow(_ranges(length, RANGES[level], level), "g long, k long, g2 long, k2 long, at int, body binary").join(large.select("g", "k", "anchor"), ["g", "k"]), "cut")
+    cut = keep(large.mapInArrow(lean(_ranges(length, RANGES[level], level)), "g long, k long, g2 long, k2 long, at int, body binary").join(large.select("g", "k", "anchor"), ["g", "k"]), "cut")
     # One length of body for each (g2, k2): equal hashes of whole cut bodies are equal bodies.
     each = cut.groupBy("g2", "k2").agg(F.count("*").alias("n"), F.first("anchor").alias("anchor"), F.first("body").alias("body"))
     each = keep(each, "each")
@@ -358,13 +358,13 @@ def shared_windows(bodies: DataFrame, length: int, split: int = SPLIT, level: in
 
 def repeated_spans(docs: DataFrame, length: int = 200, split: int = SPLIT) -> DataFrame:
     """(doc_id, th, spans) of the rows of (doc_id, th, text) with bytes that a repeated ``length``-byte string covers."""
-    rows = keep(docs.mapInArrow(_stretch_rows(length), f"h long, bh long, {_KEY}, low int, high int, own boolean"), "rows")
+    rows = keep(docs.mapInArrow(lean(_stretch_rows(length)), f"h long, bh long, {_KEY}, low int, high int, own boolean"), "rows")
     # Anchors that occur twice, and whether different stretches have them.
     often = rows.where("not own").groupBy("h").agg(F.count("*").alias("n"), F.min("bh").alias("x"), F.max("bh").alias("y")).where("n > 1").select("h", F.expr("x <> y").alias("mixed"))
     hits = keep(rows.join(often, "h", "left").where("own or mixed is not null").withColumn("mixed", F.expr("not own and mixed")), "stretches")
     kinds = keep(hits.where("mixed").groupBy("h", "bh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "low", "high")).alias("r")), "kinds")
     wanted = keep(kinds.groupBy("r.doc_id", "r.th").agg(F.collect_list(F.struct("h", "bh", "r.low", "r.high")).alias("wanted")), "wanted")
-    bodies = only_ids(docs, wanted.select("doc_id").distinct()).join(wanted, ["doc_id", "th"]).mapInArrow(_bodies(length), "g long, k long, body binary")
+    bodies = only_ids(docs, wanted.select("doc_id").distinct()).join(wanted, ["doc_id", "th"]).mapInArrow(lean(_bodies(length)), "g long, k long, body binary")
     bodies = keep(bodies, "bodies").withColumn("anchor", F.col("g"))
     ranges = shared_windows(bodies, length, split).unionAll(kinds.where("n > 1").select("h", "bh", F.lit(0), F.expr("r.high - r.low")))
     ranges = ranges.withColumnsRenamed({"g": "h", "k": "bh"})
@@ -407,9 +407,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<a:int,b:int>>"
     if ids.count() <= BROADCAST_IDS:  # only texts with spans are moved
         ids = F.broadcast(ids)
-        out = docs.join(ids, "doc_id", "left_semi").join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+        out = docs.join(ids, "doc_id", "left_semi").join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans").mapInArrow(lean(cut), schema)
         rest = docs.join(ids, "doc_id", "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.encode("text", "UTF-8").alias("kept"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("removed"))
         out = out.unionByName(rest)
     else:
-        out = docs.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+        out = docs.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans").mapInArrow(lean(cut), schema)
     return out.withColumn("doc_id", F.expr(f"nullif(doc_id, {-(2**63)})"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlist.llm.words import ALNUM, U, Words, text_slices
+from weftlist.llm.words import ALNUM, U, Words, lean, text_slices
 
 #: Width of the hashed word table.
 BITS = 18
@@ -90,11 +90,9 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: i
     free = screen(bags, labels)
     counts = [int(s[-1]) + 1 if len(s) else 0 for _, s in bags]
     base = np.concatenate([[0], np.cumsum(counts)])
-    feature = np.concatenate([f for f, _ in bags])
-    sentence = np.concatenate([s + b for (_, s), b in zip(bags, base)])
+    feature = np.concatenate([f[free[f]] for f, _ in bags]).astype(np.int64)
+    sentence = np.concatenate([s[free[f]] + b for (f, s), b in zip(bags, base)]).astype(np.int64)
     row = np.repeat(np.arange(len(bags)), counts)
-    use = free[feature]
-    feature, sentence = feature[use], sentence[use]
     known = np.bincount(sentence, minlength=base[-1]) > 0
     square, square_b = np.full(1 << BITS, 1e-8), 1e-8
     for _ in range(rounds):
@@ -140,12 +138,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     # Training runs in one task of an executor: its input is bounded by the sample.
     def learn(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
-        bags = [(np.frombuffer(f, np.int32).astype(np.int64), np.frombuffer(s, np.int32).astype(np.int64)) for f, s in zip(table.column("features").take(order).to_pylist(), table.column("sentences").take(order).to_pylist())]
+        bags = [(np.frombuffer(f, np.int32), np.frombuffer(s, np.int32)) for f, s in zip(table.column("features").take(order).to_pylist(), table.column("sentences").take(order).to_pylist())]
         weights, bias = fit(bags, table.column("toxic").to_numpy()[order].astype(np.int64))
         at = np.flatnonzero(weights)
         return pa.table({"at": np.append(at, -1), "weight": np.append(weights[at], bias)})
 
-    got = rows.mapInArrow(run, "doc_id long, toxic int, features binary, sentences binary").groupBy(F.lit(0).alias("all")).applyInArrow(learn, "at long, weight double").toArrow()
+    got = rows.mapInArrow(lean(run), "doc_id long, toxic int, features binary, sentences binary").groupBy(F.lit(0).alias("all")).applyInArrow(learn, "at long, weight double").toArrow()
     at, weight = got.column("at").to_numpy(), got.column("weight").to_numpy()
     weights, bias = np.zeros(1 << BITS), -6.0
     for a, w in zip(at, weight):
@@ -187,4 +185,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores)), pa.concat_arrays(starts), pa.concat_arrays(ends)], ["doc_id", "score", "worst_start", "worst_end"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, worst_start long, worst_end long")
+    return rows.mapInArrow(lean(run), "doc_id long, score double, worst_start long, worst_end long")
