@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlist.llm.tables import fence
+from weftlist.llm.tables import fence, keep, only_ids
 
 # Short notices by which licences are declared.
 NOTICES = {
@@ -124,9 +124,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     body = ", ".join(f"({quote(g)}, array({', '.join(f'{x!r}D' for x in w)}), array({', '.join(map(quote, own[g])) if g in own else ''}))" for g, w in weights.items())
     table = spark.sql(f"select xxhash64(g) as g, w, cast(o as array<string>) as o from values {body} as t(g, w, o)")
 
+    table = F.broadcast(table)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    texts = fence(rows.where("text is not null"), "_ls", "transform(split(lower(text), '\\n', -1), x -> regexp_extract_all(x, '[a-z0-9.+/-]*[a-z0-9+]', 0))").drop("text")
+    split = "transform(split(lower(text), '\\n', -1), x -> regexp_extract_all(x, '[a-z0-9.+/-]*[a-z0-9+]', 0))"
+    texts = fence(rows.where("text is not null"), "_ls", split).drop("text")
     lines = texts.select("doc_id", "th", F.posexplode("_ls").alias("line", "t")).select("doc_id", "th", "line", F.lit(False).alias("wrapped"), "t", F.size("t").alias("n"))
+    side = lambda k: f"if(i + {k} < n, 0, if(i >= n, 1, 2)) as side"
+    pairs = f"transform(sequence(0, size(t) - 2), i -> struct(xxhash64(concat(t[i], ' ', t[i + 1])) as g, {side(1)}))"
+    threes = f"transform(sequence(0, size(t) - 3), i -> struct(xxhash64(concat(t[i], ' ', t[i + 1], ' ', t[i + 2])) as g, {side(2)}))"
+
+    def matched(units: DataFrame) -> DataFrame:
+        """The notices' n-grams in each unit, and whether they stand before and behind the line end in it."""
+        unit = fence(units.withColumnRenamed("t", "_t"), "t", F.col("_t")).drop("_t").where("size(t) > 1")
+        grams = unit.select("doc_id", "th", "line", "wrapped", F.explode(F.expr(f"concat({pairs}, if(size(t) < 3, cast(array() as array<struct<g:bigint,side:int>>), {threes}))")).alias("x"))
+        hits = grams.select("doc_id", "th", "line", "wrapped", "x.g", "x.side").join(table.select("g"), "g")
+        return hits.groupBy("doc_id", "th", "line", "wrapped", "g").agg(F.max(F.col("side") == 0).alias("in_before"), F.max(F.col("side") == 1).alias("in_after"))
+
+    own_lines = keep(matched(lines), "lines")
+    # A notice that runs over line ends can only be in a text that has enough of its 2-grams, those over a line end included.
+    across = texts.where("size(_ls) > 1").select("doc_id", "th", F.explode(F.expr("transform(sequence(0, size(_ls) - 2), i -> if(size(_ls[i]) > 0 and size(_ls[i + 1]) > 0, xxhash64(concat(element_at(_ls[i], -1), ' ', _ls[i + 1][0])), null))")).alias("g"))
+    grams_of = own_lines.select("doc_id", "th", "g").unionAll(across.join(table.select("g"), "g").select("doc_id", "th", "g")).distinct()
+    share = grams_of.join(table, "g").select("doc_id", "th", F.explode("o").alias("notice")).groupBy("doc_id", "th", "notice").agg(F.count("*").alias("c"))
+    sizes = spark.createDataFrame(list(total.items()), "notice string, size int")
+    likely = share.join(F.broadcast(sizes), "notice").where(f"c / size >= {CONFIRM}").select("th").distinct()
+    texts = fence(only_ids(rows.where("text is not null"), keep(likely, "likely"), "th"), "_ls", split).drop("text")
     # A line without words is a mark of its own, at which the words around a line end are cut off.
     marked = fence(texts.where("size(_ls) > 1"), "_m", "transform(_ls, x -> if(size(x) = 0, array('\\n'), x))").drop("_ls")
     ends = "filter(sequence(0, size(_m) - 2), i -> _m[i][0] <> '\\n' and _m[i + 1][0] <> '\\n')"
@@ -135,14 +156,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     upto = lambda c: f"if(array_position({c}, '\\n') > 0, slice({c}, 1, cast(array_position({c}, '\\n') - 1 as int)), {c})"
     around = around.select("doc_id", "th", "line", F.expr(f"reverse({upto('b')})").alias("b"), F.expr(upto("a")).alias("a"))
     around = around.select("doc_id", "th", "line", F.lit(True).alias("wrapped"), F.concat("b", "a").alias("t"), F.size("b").alias("n"))
-    side = lambda k: f"if(i + {k} < n, 0, if(i >= n, 1, 2)) as side"
-    pairs = f"transform(sequence(0, size(t) - 2), i -> struct(xxhash64(concat(t[i], ' ', t[i + 1])) as g, {side(1)}))"
-    threes = f"transform(sequence(0, size(t) - 3), i -> struct(xxhash64(concat(t[i], ' ', t[i + 1], ' ', t[i + 2])) as g, {side(2)}))"
-    units = []
-    for unit in (lines, around):
-        unit = fence(unit.withColumnRenamed("t", "_t"), "t", F.col("_t")).drop("_t").where("size(t) > 1")
-        units.append(unit.select("doc_id", "th", "line", "wrapped", F.explode(F.expr(f"concat({pairs}, if(size(t) < 3, cast(array() as array<struct<g:bigint,side:int>>), {threes}))")).alias("x")).select("doc_id", "th", "line", "wrapped", "x.g", "x.side").join(F.broadcast(table), "g"))
-    seen = units[0].unionAll(units[1]).groupBy("doc_id", "th", "line", "wrapped", "g", "w", "o").agg(F.max(F.col("side") == 0).alias("in_before"), F.max(F.col("side") == 1).alias("in_after"))
+    seen = own_lines.unionByName(matched(around)).join(table, "g")
     sums = seen.groupBy("doc_id", "th", "line", "wrapped").agg(*[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(FAMILIES))], F.flatten(F.collect_list("o")).alias("o"), F.flatten(F.collect_list(F.when(F.col("in_before"), F.col("o")))).alias("before"), F.flatten(F.collect_list(F.when(F.col("in_after"), F.col("o")))).alias("after"))
     sums = sums.withColumn("z", F.array(*[F.col(f"z{i}") + bias[i] for i in range(len(FAMILIES))])).withColumn("top", F.array_max("z"))
     sums = sums.withColumn("label", F.expr("cast(array_position(z, top) - 1 as int)")).withColumn("probability", F.expr("1 / aggregate(z, 0D, (a, x) -> a + exp(x - top))"))
