@@ -49,6 +49,35 @@ def test_group_features(spark):
     assert {"path-tail :: /ul/li", "path-tail :: (n-1)-tag = li", "path-tail :: (n-4)-indexed = true"} <= tail
 
 
+def test_feature_options(spark):
+    from weftlist.operators import lexical, presets
+
+    nodes, cands, groups = grouped(spark)
+    items = groups.where("entities[0] = 'apple' and size(entities) = 4 and exists(xpaths, p -> p like '%/li')")
+    plain = {r.feature: r.value for r in features.self_or_ancestors(nodes, items).collect()}
+    both = {r.feature: r.value for r in features.self_or_ancestors(nodes, items, indexed=True, average=True).collect()}
+    by_level = {}
+    for f, v in both.items():
+        if "(n-" in f:
+            name = "self-or-ancestors :: " + f.split(")-", 1)[1]
+            by_level[name] = by_level.get(name, 0) + v * 5
+    assert {f: round(v, 9) for f, v in by_level.items()} == {f: round(v, 9) for f, v in plain.items()} == {f: round(v * 5, 9) for f, v in both.items() if "(n-" not in f}
+    assert not any(":: id" in r.feature or ":: class" in r.feature for r in features.self_or_ancestors(nodes, items, names=False).collect())
+    ids = sorted(items.first().node_ids)
+    times = {r.pre_id: r for r in nodes.collect()}
+    end = times[0].ts_out
+    span = {r.feature for r in features.node_range(nodes, items, collapsed=False).collect()}
+    for name, share in (("start", times[ids[0]].ts_in / end), ("end", times[ids[-1]].ts_out / end), ("length", (times[ids[-1]].ts_out - times[ids[0]].ts_in) / end)):
+        assert {f for f in span if f"{name} " in f} == {f"node-range :: {name} >= {i}%" for i in range(0, 101, 20) if i <= share * 100}
+    loose = {r.feature for r in lexical.linguistic(items, steps=False, whole=True, votes=True).collect()}
+    assert {"ling :: word-pos = UNK", "ling :: entity-pos-majority = UNK", "ling :: word-pos-majority = UNK"} <= loose
+    f = spark.createDataFrame([("ling :: a", 2.0, "x"), ("hole :: b", 1.0, None)], "feature string, value double, t string")
+    assert {(r.feature, r.value) for r in features.conjoin(f, "t", only="x", scale=0.5, keep=True).collect()} == {("I ling :: a", 1.0), ("ling :: a", 2.0), ("ALL hole :: b", 0.5), ("hole :: b", 1.0)}
+    every = {r.feature.split(" :: ")[0] for r in presets.extract(nodes, items, extra={"mine": lambda n, g: g.select(*features.KEYS, F.lit("mine :: f").alias("feature"), F.lit(1.0).alias("value"))}).collect()}
+    assert every == {"basic", "self-or-ancestors", "node-range", "hole", "entity", "ling", "mine"}
+    assert [r.feature for r in presets.extract(nodes, items, "none").collect()] == ["basic :: bias"]
+
+
 def test_headers(spark):
     from weftlist.operators import lexical
 

@@ -84,31 +84,37 @@ def levels(nodes: DataFrame, groups: DataFrame, depth: int = 5) -> DataFrame:
     return reached.join(nodes, ["page_id", "root_no", "pre_id"])
 
 
-def self_or_ancestors(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Votes on tag, id, class, number of children and place of the nodes at each level; empty ids and classes don't vote. The climb ends at the page's root element."""
-    n = levels(nodes, groups)
+def self_or_ancestors(nodes: DataFrame, groups: DataFrame, plain: bool = True, indexed: bool = False, names: bool = True, average: bool = False, depth: int = 5) -> DataFrame:
+    """Votes on tag, id, class, number of children and place of the nodes at each level; empty ids and classes don't vote. The climb ends at the page's root element.
+
+    ``plain`` names add up over levels, ``indexed`` ones begin with (n-level)-; ``names=False`` leaves out ids and classes, ``average`` divides values by ``depth``.
+    """
+    n = levels(nodes, groups, depth)
     many = F.when(F.col("n_children") <= 3, F.col("n_children").cast("string")).otherwise("many")
-    rows = n.select(*KEYS, "level", F.inline(F.array(
-        _occurrence("tag", F.col("tag")),
-        _occurrence("id", F.nullif(F.col("attrs")["id"], F.lit("")), words=True),
-        _occurrence("class", F.nullif(F.col("attrs")["class"], F.lit("")), words=True),
-        _occurrence("num-children", many),
-        _occurrence("child-index", F.col("child_idx"), lone=False),
-    )))
-    votes = voting(rows, [*KEYS, "level"], "self-or-ancestors").drop("level")
+    votes = [_occurrence("tag", F.col("tag")), _occurrence("num-children", many), _occurrence("child-index", F.col("child_idx"), lone=False)]
+    votes += [_occurrence(a, F.nullif(F.col("attrs")[a], F.lit("")), words=True) for a in ("id", "class")] if names else []
+    out = voting(n.select(*KEYS, "level", F.inline(F.array(*votes))), [*KEYS, "level"], "self-or-ancestors")
     parents = n.groupBy(*KEYS, "level", F.coalesce("parent_id", F.lit(-1)).alias("parent")).agg(F.count("*").alias("own"), F.max("n_sib").alias("all"))
     per = parents.groupBy(*KEYS, "level").agg((F.sum("own") / F.sum("all")).alias("share"), F.count("*").alias("parents"))
     extra = F.concat(_steps(F.lit("children-of-parent"), stats.percents(F.col("share")), "%"), F.when(F.col("parents") == 1, F.array(F.lit("same-parent"))).otherwise(_none()))
-    extra = per.select(*KEYS, F.explode(extra).alias("f")).select(*KEYS, F.concat(F.lit("self-or-ancestors :: "), "f").alias("feature"), F.lit(1.0).alias("value"))
-    return bag(votes.unionByName(extra), KEYS)
+    out = out.unionByName(indicators(per, [*KEYS, "level"], "self-or-ancestors", extra))
+    at = F.concat(F.lit("self-or-ancestors :: (n-"), F.col("level").cast("string"), F.lit(")-"), F.substring_index("feature", " :: ", -1))
+    kinds = ([F.col("feature")] if plain else []) + ([at] if indexed else [])
+    out = out.withColumn("feature", F.explode(F.array(*kinds))).withColumn("value", F.col("value") / (depth if average else 1))
+    return bag(out.select(*KEYS, "feature", "value"), KEYS)
 
 
-def node_range(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Where a group's first and last nodes stand among its page's nodes, counted from 1 in document order, and how far apart."""
-    total = nodes.groupBy("page_id", "root_no").agg(F.count("*").alias("n"))
+def node_range(nodes: DataFrame, groups: DataFrame, collapsed: bool = True) -> DataFrame:
+    """Where a group's first and last nodes stand among its page's nodes, counted from 1 in document order, and how far apart; with ``collapsed=False`` by the times of entering the first and leaving the last."""
     low, high, n = F.array_min("node_ids") + 1, F.array_max("node_ids") + 1, F.col("n")
+    if collapsed:
+        rows = groups.join(nodes.groupBy("page_id", "root_no").agg(F.count("*").alias("n")), ["page_id", "root_no"])
+    else:
+        times = nodes.select("page_id", "root_no", F.col("pre_id"), "ts_in", "ts_out")
+        ends = groups.select(*KEYS, "node_ids", F.array_min("node_ids").alias("pre_id")).join(times.drop("ts_out"), ["page_id", "root_no", "pre_id"]).withColumn("pre_id", F.array_max("node_ids")).join(times.drop("ts_in"), ["page_id", "root_no", "pre_id"])
+        rows, low, high = ends.join(nodes.groupBy("page_id", "root_no").agg(F.max("ts_out").alias("n")), ["page_id", "root_no"]), F.col("ts_in"), F.col("ts_out")
     names = F.concat(*(_steps(F.lit(k), stats.percents(v / n), "%") for k, v in (("length", high - low), ("start", low), ("end", high))))
-    return indicators(groups.join(total, ["page_id", "root_no"]), KEYS, "node-range", names)
+    return indicators(rows, KEYS, "node-range", names)
 
 
 def hole(nodes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -164,11 +170,18 @@ def entity(groups: DataFrame, count: bool = False, phrase: bool = True, collapse
     return out
 
 
-def conjoin(features: DataFrame, query_type: str, pattern: str = "^(ling|entity).*", keep: bool = False) -> DataFrame:
-    """Features that match ``pattern`` are made specific to the row's query type (a missing one is "null"); others apply to all."""
-    to = F.when(F.col("feature").rlike(pattern), F.coalesce(F.col(query_type), F.lit("null"))).otherwise("ALL")
-    names = [F.concat(to, F.lit(" "), "feature")] + ([F.col("feature")] if keep else [])
-    return features.withColumn("feature", F.explode(F.array(*names)))
+def conjoin(features: DataFrame, query_type: str, pattern: str = "^(ling|entity).*", keep: bool = False, only: str | None = None, scale: float = 1.0) -> DataFrame:
+    """Features that match ``pattern`` are made specific to the row's query type (a missing one is "null"); others apply to all.
+
+    With ``only`` a type is just I, that one, or O, any other. ``keep`` keeps the features as they were too; ``scale`` multiplies the values of the new ones.
+    """
+    own = F.coalesce(F.col(query_type), F.lit("null"))
+    own = own if only is None else F.when(own == only, "I").otherwise("O")
+    to = F.when(F.col("feature").rlike(pattern), own).otherwise("ALL")
+    named = F.struct(F.concat(to, F.lit(" "), "feature").alias("f"), F.lit(float(scale)).alias("k"))
+    rows = features.withColumn("_x", F.explode(F.array(named, *([F.struct(F.col("feature").alias("f"), F.lit(1.0).alias("k"))] if keep else []))))
+    rows = rows.withColumn("feature", F.col("_x.f"))
+    return (rows.withColumn("value", F.col("value") * F.col("_x.k")) if "value" in features.columns else rows).drop("_x")
 
 
 def common(features: DataFrame, example: list[str], least: int = 2) -> DataFrame:

@@ -38,19 +38,24 @@ def tokens_of(groups: DataFrame, cache: DataFrame | None = None, annotator: Call
     return ling.annotated(groups.select(*KEYS, F.explode("entities").alias("e")), "e", cache, annotator).where(F.size("tokens") > 0)
 
 
-def linguistic(groups: DataFrame, cache: DataFrame | None = None, annotator: Callable[[Column], Column] = ling.crude, lemmas: bool = False) -> DataFrame:
-    """Entropy and shares of the words' tags, votes on the strings' tags without repeats, entropy of first and last words."""
+def linguistic(groups: DataFrame, cache: DataFrame | None = None, annotator: Callable[[Column], Column] = ling.crude, lemmas: bool = False, steps: bool = True, collapsed: bool = True, whole: bool = False, votes: bool = False) -> DataFrame:
+    """Entropy and shares of the words' tags, votes on the strings' tags without repeats, entropy of first and last words.
+
+    ``steps=False`` only names the tags there are; ``whole`` votes on the strings' tags as they are, ``votes`` on the words' tags.
+    """
     e = tokens_of(groups, cache, annotator)
     word = lambda t: t["lemma"] if lemmas else t["token"]
-    rows = e.select(*KEYS, F.inline(F.array(
-        _occurrence("entity-collapsed-pos", F.array_join(text.collapse(ling.tags(F.col("tokens"))), " ")),
-        _occurrence("first-token", word(F.get("tokens", F.lit(0))), only_entropy=True), _occurrence("last-token", word(F.element_at("tokens", -1)), only_entropy=True),
-    )))
-    tags = e.select(*KEYS, F.explode(ling.tags(F.col("tokens"))).alias("pos"))
-    rows = rows.unionByName(tags.select(*KEYS, F.inline(F.array(_occurrence("word-pos", F.col("pos"), only_entropy=True)))))
+    every = ling.tags(F.col("tokens"))
+    rows = [_occurrence("first-token", word(F.get("tokens", F.lit(0))), only_entropy=True), _occurrence("last-token", word(F.element_at("tokens", -1)), only_entropy=True)]
+    rows += [_occurrence("entity-collapsed-pos", F.array_join(text.collapse(every), " "))] if collapsed else []
+    rows += [_occurrence("entity-pos", F.array_join(every, " "))] if whole else []
+    tags = e.select(*KEYS, F.explode(every).alias("pos"))
+    of_words = tags.select(*KEYS, F.inline(F.array(_occurrence("word-pos", F.col("pos"), only_entropy=True), *([_occurrence("word-pos", F.col("pos"))] if votes else []))))
+    out = voting(e.select(*KEYS, F.inline(F.array(*rows))).unionByName(of_words), KEYS, "ling")
     counts = tags.groupBy(*KEYS, "pos").agg(F.count("*").alias("c"))
     shares = counts.join(tags.groupBy(*KEYS).agg(F.count("*").alias("n")), KEYS)
-    return voting(rows, KEYS, "ling").unionByName(indicators(shares, KEYS, "ling", _steps(F.concat(F.lit("word-pos = "), "pos"), stats.percents(F.col("c") / F.col("n")), "%")))
+    name = F.concat(F.lit("word-pos = "), "pos")
+    return out.unionByName(indicators(shares, KEYS, "ling", _steps(name, stats.percents(F.col("c") / F.col("n")), "%") if steps else F.array(name)))
 
 
 def cluster(groups: DataFrame, phrases: DataFrame, clusters: DataFrame, cache: DataFrame | None = None, annotator: Callable[[Column], Column] = ling.crude) -> DataFrame:
