@@ -117,7 +117,8 @@ def _split(rows: DataFrame, nodes: dict[int, tuple[int, int]], total: float, ran
         lo, hi, _ = strips.get(n, (0, -1, 0.0) if s > 1 else (BINS, BINS, 0.0))
         # A node of one shard keeps all its rows on the right.
         decided.append((n, 0 if s == 1 else lo, -1 if s == 1 else hi, chosen[n], cut[n][0], cut[n][1]))
-    table = spark.createDataFrame(decided, "node int, strip_lo int, strip_hi int, cells array<int>, cut int, parts array<int>")
+    listed = lambda x: f"cast(array({', '.join(map(str, x))}) as array<int>)" if isinstance(x, list) else str(x)
+    table = spark.sql("select * from values " + ", ".join(f"({', '.join(map(listed, row))})" for row in decided) + " as t(node, strip_lo, strip_hi, cells, cut, parts)")
     left = F.expr("c0 < strip_lo or c0 <= strip_hi and (array_contains(cells, c1) or c1 = cut and array_contains(parts, c2))")
     out = cells.join(F.broadcast(table), "node").withColumn("node", F.col("node") * 2 + F.when(left, 0).otherwise(1)).drop("dim", "lo", "span", "c0", "c1", "c2", "strip_lo", "strip_hi", "cells", "cut", "parts")
     after = {}

@@ -145,7 +145,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     across = texts.where("size(_ls) > 1").select("doc_id", "th", F.explode(F.expr("transform(sequence(0, size(_ls) - 2), i -> if(size(_ls[i]) > 0 and size(_ls[i + 1]) > 0, xxhash64(concat(element_at(_ls[i], -1), ' ', _ls[i + 1][0])), null))")).alias("g"))
     grams_of = own_lines.select("doc_id", "th", "g").unionAll(across.join(table.select("g"), "g").select("doc_id", "th", "g")).distinct()
     share = grams_of.join(table, "g").select("doc_id", "th", F.explode("o").alias("notice")).groupBy("doc_id", "th", "notice").agg(F.count("*").alias("c"))
-    sizes = spark.createDataFrame(list(total.items()), "notice string, size int")
+    sizes = spark.sql("select * from values " + ", ".join(f"({quote(k)}, {v})" for k, v in total.items()) + " as t(notice, size)")
     likely = share.join(F.broadcast(sizes), "notice").where(f"c / size >= {CONFIRM}").select("th").distinct()
     texts = fence(only_ids(rows.where("text is not null"), keep(likely, "likely"), "th"), "_ls", split).drop("text")
     # A line without words is a mark of its own, at which the words around a line end are cut off.
