@@ -416,4 +416,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "d
             at = np.searchsorted(key, length << 44 | rank, "right") - 1
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(t[at, 3] + rank - t[at, 1]), pa.array(t[at, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return cut.join(before, ["length", "part"]).mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # The table of counts grows with the number of tasks, so it is never broadcast.
+    return cut.join(before.hint("merge"), ["length", "part"]).mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
