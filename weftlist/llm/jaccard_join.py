@@ -433,6 +433,9 @@ def tiled_links(rows: DataFrame, grams_of: DataFrame, percent: int) -> DataFrame
     """
     blocks = f"int(ceil(greatest(count_if({{0}}) / {TILE_SETS}, sum(if({{0}}, n, 0)) / {TILE_ELEMENTS})))"
     sizes = rows.groupBy("c").agg(F.expr(blocks.format("component <> main")).alias("nl"), F.expr(blocks.format("component = main")).alias("nm")).where("nl > 0")
+    sizes = keep(sizes, "sizes")
+    if sizes.count() <= BROADCAST_IDS // 4:  # members of a large cluster then stay spread over all tasks
+        sizes = F.broadcast(sizes)
     rows = rows.join(sizes, "c").withColumn("outer", F.expr("component <> main"))
     rows = rows.withColumn("block", F.expr("int(pmod(xxhash64(rep, 7), if(outer, nl, nm)))"))
     rows = rows.withColumn("x", F.explode(F.expr("if(outer, sequence(0, nl + nm - 1), sequence(0, nl - 1))")))
