@@ -5,8 +5,8 @@ before it falls under a threshold, so boundaries depend on nearby content and su
 occur more than once anywhere are removed except for their first occurrence, by (doc_id, place).
 Hashes only choose candidates: the chunks' bytes decide.
 
-``dedup_lines`` compares such chunks as wholes and is what the SQL states. ``dedup_passages`` puts a boundary after every
-line and extends each repeat over the equal lines beside it, so that repeated runs go whole wherever they start.
+``dedup_lines`` compares such chunks as wholes and is what the SQL states. ``dedup_passages`` starts from the same chunks and
+extends what repeats over the equal lines beside and between them, so that repeated runs go whole wherever they start.
 """
 
 from __future__ import annotations
@@ -22,13 +22,18 @@ FIRST_BYTES = 16 << 20
 CUT = "4"
 
 
-def _chunked(docs: DataFrame) -> DataFrame:
-    """Adds ``_row`` (hash of the whole text) and ``_chunks`` (arrays of lines)."""
+def _cut(docs: DataFrame) -> DataFrame:
+    """Adds ``_row`` (hash of the whole text), ``_lines`` and ``_ends`` (the last line of each chunk)."""
     docs = fence(docs, "_lines", F.split("text", "\n", -1))
     docs = fence(docs, "_hashes", "transform(_lines, x -> md5(x))")
     docs = fence(docs, "_ends", f"filter(sequence(0, coalesce(size(_hashes), 1) - 1), i -> i = size(_hashes) - 1 or substring(md5(concat(if(i = 0, '', _hashes[i - 1]), _hashes[i])), 1, 1) < '{CUT}')")
-    docs = fence(docs, "_chunks", "transform(_ends, (e, j) -> slice(_lines, if(j = 0, 1, _ends[j - 1] + 2), if(j = 0, e + 1, e - _ends[j - 1])))")
-    return docs.withColumn("_row", F.xxhash64("text")).drop("_lines", "_hashes", "_ends")
+    return docs.withColumn("_row", F.xxhash64("text")).drop("_hashes")
+
+
+def _chunked(docs: DataFrame) -> DataFrame:
+    """Adds ``_row`` and ``_chunks`` (arrays of lines)."""
+    docs = fence(_cut(docs), "_chunks", "transform(_ends, (e, j) -> slice(_lines, if(j = 0, 1, _ends[j - 1] + 2), if(j = 0, e + 1, e - _ends[j - 1])))")
+    return docs.drop("_lines", "_ends")
 
 
 def _small(first: DataFrame) -> DataFrame:
@@ -63,30 +68,46 @@ def dedup_lines(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", t
     return unboxed(out.withColumn("text", kept), given, "n_lines", "n_removed", **{text_col: "text"})
 
 
+def _later(pieces: DataFrame, name: str) -> DataFrame:
+    """The rows of ``pieces`` (doc_id, _row, place, piece, ..) whose piece also starts at an earlier (doc_id, place), with that place as ``first``."""
+    pieces = pieces.withColumn("hash", F.xxhash64("piece"))
+    often = keep(pieces.select("hash", F.struct("doc_id", "_row", "place").alias("at")).groupBy("hash").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low <> high").select("hash"), f"often_{name}")
+    again = keep(only_ids(pieces, often, "hash"), f"again_{name}")
+    first = _small(again.groupBy("hash", "piece").agg(F.min(F.struct("doc_id", "place", "_row")).alias("first")))
+    return again.join(first, ["hash", "piece"]).where("struct(doc_id, place, _row) <> first")
+
+
+def _by_text(lines: DataFrame, name: str) -> DataFrame:
+    """Line numbers gathered for each text, to be broadcast where few texts have any."""
+    lists = keep(lines.groupBy("doc_id", "_row").agg(F.collect_set("line").alias(f"_{name}")), name)
+    return F.broadcast(lists) if lists.count() <= BROADCAST_IDS // 50 else lists
+
+
 def dedup_passages(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the later occurrences of runs of ``least_lines`` lines or more, and n_lines, n_removed (lines).
 
-    A run goes if an equal run starts earlier, by (doc_id, place), in any text; runs are judged on the input. A longer
-    run is repeated exactly if all its windows of ``least_lines`` lines are, each one line on from the one before, so
-    these windows, extended over one another, give whole runs. Of a run that overlaps its own first
+    A run goes if an equal run starts earlier, by (doc_id, place), in any text; runs are judged on the input.
+    Content-defined chunks that equal an earlier one go first, as wholes. The boundaries in a repeated run follow
+    from the run but for the one after its first line, so what is left of it lies at its ends, or the run is shorter than a
+    chunk: all windows of ``least_lines`` lines that are not inside such a chunk are then compared. The first occurrence
+    of a window never is inside one. A longer run is repeated exactly if all its windows are, so these,
+    extended over one another and over the chunks, give whole runs. Of a run that overlaps its own first
     occurrence only the lines after that go. The first occurrence of every line stays. Rows, null texts,
     null ids and other columns are treated as in ``dedup_lines``.
     """
     given, docs = docs, boxed(docs, doc_id=id_col, text=text_col)
     k = int(least_lines)
-    rows = fence(docs.select("doc_id", "text").where("text is not null and doc_id is not null"), "_lines", F.split("text", "\n", -1)).where(f"size(_lines) >= {k}")
-    rows = rows.withColumn("_row", F.xxhash64("text"))
-    windows = rows.select("doc_id", "_row", F.posexplode(F.expr(f"transform(sequence(0, size(_lines) - {k}), i -> array_join(slice(_lines, i + 1, {k}), '\n'))")).alias("place", "window"))
-    windows = windows.withColumn("hash", F.xxhash64("window"))
-    often = keep(windows.select("hash", F.struct("doc_id", "_row", "place").alias("at")).groupBy("hash").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low <> high").select("hash"), "often")
-    again = keep(only_ids(windows, often, "hash"), "again")
-    first = _small(again.groupBy("hash", "window").agg(F.min(F.struct("doc_id", "place", "_row")).alias("first")))
-    later = again.join(first, ["hash", "window"]).where("struct(doc_id, place, _row) <> first")
+    rows = _cut(docs.select("doc_id", "text").where("text is not null and doc_id is not null")).drop("text").where(f"size(_lines) >= {k}")
+    chunks = rows.select("doc_id", "_row", "_lines", F.inline(F.expr("transform(_ends, (e, j) -> struct(if(j = 0, 0, _ends[j - 1] + 1) as place, e as last))"))).where(f"last - place >= {k - 1}")
+    chunks = chunks.select("doc_id", "_row", "place", "last", F.expr("array_join(slice(_lines, place + 1, last - place + 1), '\n')").alias("piece"))
+    chunks = keep(_later(chunks, "chunks").select("doc_id", "_row", "place", "last"), "copied")
+    inside = _by_text(chunks.select("doc_id", "_row", F.explode(F.expr(f"sequence(place, last - {k - 1})")).alias("line")), "inside")
+
+    rows = fence(rows.join(inside, ["doc_id", "_row"], "left"), "_starts", f"array_except(sequence(0, size(_lines) - {k}), coalesce(_inside, array()))")
+    windows = rows.select("doc_id", "_row", F.inline(F.expr(f"transform(_starts, i -> struct(i as place, array_join(slice(_lines, i + 1, {k}), '\n') as piece))")))
     start = F.expr(f"if(doc_id = first.doc_id and _row = first._row, greatest(place, first.place + {k}), place)")
-    gone = later.select("doc_id", "_row", F.explode(F.sequence(start, F.expr(f"place + {k - 1}"))).alias("line")).groupBy("doc_id", "_row").agg(F.collect_set("line").alias("_gone"))
-    gone = keep(gone, "gone")
-    if gone.count() <= BROADCAST_IDS // 50:
-        gone = F.broadcast(gone)
+    lines = _later(windows, "windows").select("doc_id", "_row", F.explode(F.sequence(start, F.expr(f"place + {k - 1}"))).alias("line"))
+    gone = _by_text(lines.unionAll(chunks.select("doc_id", "_row", F.explode(F.sequence("place", "last")).alias("line"))), "gone")
     out = fence(docs.withColumn("_row", F.xxhash64("text")).join(gone, ["doc_id", "_row"], "left"), "_lines", F.split("text", "\n", -1))
     out = out.withColumn("n_lines", F.expr("if(text is null, 0L, cast(size(_lines) as bigint))")).withColumn("n_removed", F.expr("if(_gone is null, 0L, cast(size(_gone) as bigint))"))
     kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i]), '\n')"))
