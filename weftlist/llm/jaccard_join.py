@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from weftlist.llm.components import components
 from weftlist.llm.tables import BROADCAST_IDS, keep, only_ids, parts, plan_bytes
-from weftlist.llm.words import SPACED, U, Words, distinct_by_row, grams, lean, mix, text_slices
+from weftlist.llm.words import SPACED, U, Words, distinct_by_row, grams, lean, mix, release, text_slices
 
 #: A signature of more documents than this is listed in runs and under its own name, not under its documents.
 HOT = 64
@@ -44,8 +44,8 @@ COUNTED = 4_000_000
 BLOCK = 500_000
 #: Bytes kept of a signature beside its bucket: meetings by chance are found out when sets are compared.
 SIG_BYTES = 5
-#: Input bytes for each bucket of signatures.
-BUCKET_BYTES = 1 << 20
+#: Distinct shingles of documents for each bucket of signatures, of which a set has about as many.
+BUCKET_SHINGLES = 250_000
 #: Sets, and their elements, on each side of a tile; elements found more often than DENSE in a tile are counted by matrix product.
 TILE_SETS = 2048
 TILE_ELEMENTS = 2_000_000
@@ -274,6 +274,8 @@ def _meet(table: pa.Table) -> pa.Table:
             out_ids.append(np.append(ids[:1], ids[i : i + 1000]))
             out_weight.append(1)
             out_size.append(len(ids))
+    del sig, doc, order, cut, length, known
+    release()
     return pa.table({"hot": pa.array(out_sig, pa.int64()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(out_sig), pa.int32()), "ids": pa.array(out_ids, pa.list_(pa.int64())), "weight": pa.array(out_weight, pa.int64()), "size": pa.array(out_size, pa.int64())})
 
 
@@ -471,7 +473,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = named.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = keep(named.join(same.where("copies > 1"), ["k1", "k2", "n_shingles"]).select("doc_id", "rep").distinct(), "copies")
 
-    buckets = max(parts(spark), -(-plan_bytes(docs) // BUCKET_BYTES))
+    # By what has been counted: file sizes say little where texts compress well, and nothing for tables without files.
+    shingles = same.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(parts(spark), -(-shingles // BUCKET_SHINGLES))
     # Copies meet anyway, under one name, but a list of them that is small enough to broadcast saves their signatures.
     emitting, spare = docs.where("doc_id is not null"), copies.where("doc_id <> rep").select("doc_id").distinct()
     if not again and spare.count() <= BROADCAST_IDS:
