@@ -2,7 +2,8 @@
 
 Sets are the distinct word shingles of whole texts. Sizes fall into bands whose upper end is 4/3
 of the lower; sets of similarity 0.75 lie in the same band or in neighbouring ones, so every set
-joins the family of its band and that of the next. A family splits the shingle domain into
+joins the family of its band and that of the next. Sets of one band meet in its own family, so a signature
+that only sets of the band below have is not listed. A family splits the shingle domain into
 partitions and each of these into three second-level ones. Two linked sets differ in at most
 k = (|A|+|B|)/7 shingles, and there are more than k / 2 partitions, so in some partition they differ in
 one shingle at most: there one subset of two second-level partitions holds exactly the same in both.
@@ -103,8 +104,14 @@ def _partitions(value, row, n1, k, family, level, rows):
 
 def signatures(value: np.ndarray, bounds: np.ndarray, common: np.ndarray, spread: float = 0.16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(signature, row), and for each row how many a linked set shares for certain and whether a finer level was needed."""
+    sig, row, _, shared, deep = family_signatures(value, bounds, common, spread)
+    return sig, row, shared, deep
+
+
+def family_signatures(value: np.ndarray, bounds: np.ndarray, common: np.ndarray, spread: float = 0.16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, row, whether it is in the family of the next band), and for each row the counts and flags of ``signatures``."""
     size = np.diff(bounds)
-    sigs, owners = [], []
+    sigs, owners, uppers = [], [], []
     shared, deep = np.full(len(size), 2**30, np.int64), np.zeros(len(size), bool)
     band = np.searchsorted(UPPER, size)
     rare = np.ones(len(value), bool)
@@ -130,14 +137,15 @@ def signatures(value: np.ndarray, bounds: np.ndarray, common: np.ndarray, spread
                 sig, owner, certain = mix(v ^ mix(family.astype(U) + U(1 << 40))[local]), local, n - k
             sigs.append(sig)
             owners.append(rows[owner])
+            uppers.append(np.full(len(sig), step == 1))
             weak = certain <= 0
             shared[rows[~weak]] = np.minimum(shared[rows[~weak]], certain[~weak])
             deep[rows] |= level > 0
             active = np.zeros(len(size), bool)
             active[rows[weak]] = True
     if not sigs:
-        return np.zeros(0, U), np.zeros(0, np.int64), shared, deep
-    return np.concatenate(sigs), np.concatenate(owners), shared, deep
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, bool), shared, deep
+    return np.concatenate(sigs), np.concatenate(owners), np.concatenate(uppers), shared, deep
 
 
 def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
@@ -194,11 +202,11 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if top <= np.iinfo(t).max))
 
 
-def _pack(sigs: list, docs: list, buckets: int) -> pa.RecordBatch:
-    sig, doc = np.concatenate(sigs), np.concatenate(docs)
+def _pack(sigs: list, docs: list, uppers: list, buckets: int) -> pa.RecordBatch:
+    sig, doc, upper = np.concatenate(sigs), np.concatenate(docs), np.concatenate(uppers)
     bucket = (sig % U(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
-    sig, doc, bucket = sig[order], doc[order], bucket[order]
+    sig, doc, upper, bucket = sig[order], doc[order], upper[order], bucket[order]
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     ends = np.append(cuts[1:], len(sig))
     rest = np.ascontiguousarray((sig // U(buckets)).view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES])
@@ -209,12 +217,13 @@ def _pack(sigs: list, docs: list, buckets: int) -> pa.RecordBatch:
         pa.array([rest[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
         pa.array(doc[cuts]),
         pa.array([_narrow(step[a:b]).tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-    ], ["bucket", "sigs", "first", "steps"])
+        pa.array([np.packbits(upper[a:b]).tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+    ], ["bucket", "sigs", "first", "steps", "upper"])
 
 
 def _emit(width: int, buckets: int, common):
     def run(batches):
-        seen, sigs, owners, held = set(), [], [], 0
+        seen, sigs, owners, uppers, held = set(), [], [], [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, value, bounds in shingle_sets(batch.column(1), width):
@@ -224,36 +233,43 @@ def _emit(width: int, buckets: int, common):
                     if key not in seen:
                         seen.add(key)
                         fresh[i] = True
-                sig, row, _, _ = signatures(value, bounds, common.value)
+                sig, row, upper, _, _ = family_signatures(value, bounds, common.value)
                 use = fresh[row]
-                sig, row = sig[use], row[use]
+                sig, row, upper = sig[use], row[use], upper[use]
                 order = np.argsort(row, kind="stable")
                 sigs.append(sig[order])
                 owners.append(ids[first + row[order]])
+                uppers.append(upper[order])
                 held += len(sig)
                 if held >= BLOCK:
-                    yield _pack(sigs, owners, buckets)
-                    sigs, owners, held = [], [], 0
+                    yield _pack(sigs, owners, uppers, buckets)
+                    sigs, owners, uppers, held = [], [], [], 0
         if held:
-            yield _pack(sigs, owners, buckets)
+            yield _pack(sigs, owners, uppers, buckets)
 
     return run
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Groups of documents that share a signature, each once: ids ascending; of a hot one, runs that begin with its smallest id."""
-    sig, doc = [], []
-    for rest, first, step in zip(*(table.column(c).to_pylist() for c in ("sigs", "first", "steps"))):
+    """Groups of documents that share a signature, each once: ids ascending; of a hot one, runs that begin with its smallest id.
+
+    A group that only has sets of the band below is left out: they are of one band and meet in its family.
+    """
+    sig, doc, upper = [], [], []
+    for rest, first, step, above in zip(*(table.column(c).to_pylist() for c in ("sigs", "first", "steps", "upper"))):
         n = len(rest) // SIG_BYTES
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :SIG_BYTES] = np.frombuffer(rest, np.uint8).reshape(-1, SIG_BYTES)
         sig.append(wide.view(U).ravel())
         doc.append(first + np.cumsum(np.frombuffer(step, f"i{len(step) // n}"), dtype=np.int64))
-    sig, doc = np.concatenate(sig), np.concatenate(doc)
+        upper.append(np.unpackbits(np.frombuffer(above, np.uint8), count=n))
+    sig, doc, upper = np.concatenate(sig), np.concatenate(doc), np.concatenate(upper)
     order = np.argsort(sig, kind="stable")
-    sig, doc = sig[order], doc[order]
+    sig, doc, upper = sig[order], doc[order], upper[order]
     cut = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
     length = np.diff(np.append(cut, len(sig)))
+    own = np.minimum.reduceat(upper, cut) == 0
+    cut, length = cut[own], length[own]
     out_sig, out_ids, out_weight, out_size, known = [], [], [], [], {}
     for a, n in zip(cut[length > 1], length[length > 1]):
         ids = np.unique(doc[a : a + n])
@@ -274,7 +290,7 @@ def _meet(table: pa.Table) -> pa.Table:
             out_ids.append(np.append(ids[:1], ids[i : i + 1000]))
             out_weight.append(1)
             out_size.append(len(ids))
-    del sig, doc, order, cut, length, known
+    del sig, doc, upper, order, cut, length, own, known
     release()
     return pa.table({"hot": pa.array(out_sig, pa.int64()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(out_sig), pa.int32()), "ids": pa.array(out_ids, pa.list_(pa.int64())), "weight": pa.array(out_weight, pa.int64()), "size": pa.array(out_size, pa.int64())})
 
@@ -480,7 +496,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     emitting, spare = docs.where("doc_id is not null"), copies.where("doc_id <> rep").select("doc_id").distinct()
     if not again and spare.count() <= BROADCAST_IDS:
         emitting = emitting.join(F.broadcast(spare), "doc_id", "left_anti")
-    packed = emitting.mapInArrow(lean(_emit(width, buckets, common)), "bucket int, sigs binary, first long, steps binary")
+    packed = emitting.mapInArrow(lean(_emit(width, buckets, common)), "bucket int, sigs binary, first long, steps binary, upper binary")
     met = packed.groupBy("bucket").applyInArrow(_meet, "hot long, bucket int, ids array<long>, weight long, size long")
     met = keep(met, "met")
 
