@@ -257,7 +257,7 @@ TITLE = "replace(replace(replace(replace(regexp_extract(html, '<{0}>(.*?)</{0}>'
 
 @query(f"SELECT page_id, CASE WHEN length(t) <= 140 THEN t END AS title, CASE WHEN length(h) <= 140 THEN h END AS h1 FROM (SELECT page_id, {WS.format(TITLE.format('title'))} AS t, {WS.format(TITLE.format('h1'))} AS h FROM pages)")
 def page_titles(s, d):
-    return html.title(html.nodes(table(s, d, "pages"))).select("page_id", "title", "h1")
+    return html.written_titles(table(s, d, "pages"))
 
 
 @query("SELECT page_id, tag, n FROM (SELECT page_id, tag, len(regexp_extract_all(html, '<' || tag || '[ >]')) AS n FROM pages, (VALUES ('p'), ('a'), ('li'), ('b'), ('div'), ('h1'), ('br')) t(tag)) WHERE n > 0")
