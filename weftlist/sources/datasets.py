@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,12 +21,16 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fraction_split(examples: DataFrame, train: float = 1.0, test: float = 0.0, seed: int | None = None) -> DataFrame:
-    """A row of each split an example belongs to: the first part trains and the last tests; they may overlap or leave a gap. With a seed their order is shuffled first."""
+    """A row of each split an example belongs to: the first part trains and the last tests; they may overlap or leave a gap. With a seed their order is shuffled first.
+
+    Shares are taken as the decimals they are written as: 0.7 of 90,000 is 63,000, where binary fractions fall just short of it.
+    """
     n = examples.agg(F.count("*").alias("n")).first().n
     if seed is not None:
         places = examples.sparkSession.createDataFrame([(old, new) for new, old in enumerate(java_shuffle(n, seed))], "ex_id long, _new long")
         examples = examples.join(places, "ex_id").withColumn("ex_id", F.col("_new")).drop("_new")
-    split = F.array(F.when(F.col("ex_id") < int(n * train), F.lit("train")), F.when(F.col("ex_id") >= int(n * (1 - test)), F.lit("test")))
+    first, last = int(n * Decimal(str(train))), int(n * (1 - Decimal(str(test))))
+    split = F.array(F.when(F.col("ex_id") < first, F.lit("train")), F.when(F.col("ex_id") >= last, F.lit("test")))
     return examples.withColumn("split", F.explode(F.filter(split, lambda s: s.isNotNull())))
 
 
@@ -66,7 +71,7 @@ def reshuffled(examples: DataFrame, times: int = 1, train: float | None = None,
     order = list(range(n))
     for _ in range(times):
         order = [order[i] for i in java_shuffle(n, seed)]
-    limit = first if train is None else int(n * train)
+    limit = first if train is None else int(n * Decimal(str(train)))
     places = spark.createDataFrame([(old, new, "train" if new < limit else "test") for new, old in enumerate(order)], "_at long, place long, _split string")
     return numbered.join(places, "_at").withColumn("split", F.col("_split")).drop("_at", "_split")
 
