@@ -26,10 +26,15 @@ def ws_normalize(c: Column) -> Column:
     return trim(F.regexp_replace(c, r"[ \t\n\x0B\f\r]+", " "))
 
 
+def without_marks(x: str) -> str:
+    """Canonical decomposition without combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFD", x) if not "̀" <= c <= "ͯ")
+
+
 @F.pandas_udf(StringType())
 def strip_marks(s: pd.Series) -> pd.Series:
     """Canonical decomposition without combining marks: no built-in function decomposes."""
-    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not "̀" <= c <= "ͯ"))
+    return s.map(lambda x: None if x is None else without_marks(x))
 
 
 def simple_normalize(c: Column, marks: bool = True) -> Column:

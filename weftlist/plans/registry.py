@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftlist.functions import ling, stats, text
-from weftlist.operators import candidates, evaluation, features, learning, ranking
+from weftlist.operators import candidates, evaluation, features, learning, pages, ranking
 from weftlist.sources import datasets, html
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -273,7 +273,7 @@ def page_nodes(s, d):
 
 @query()
 def candidate_lists(s, d):
-    return candidates.candidates(html.nodes(table(s, d, "pages"))).select("page_id", "root_no", "xpath", "node_ids", "entities")
+    return pages.candidates(table(s, d, "pages"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
