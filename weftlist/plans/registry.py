@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftlist.functions import ling, stats, text
-from weftlist.operators import candidates, evaluation, features, learning, pages, ranking
+from weftlist.operators import evaluation, features, learning, pages, ranking
 from weftlist.sources import datasets, html
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -278,7 +278,7 @@ def candidate_lists(s, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest list of every page: rank 1 by size, ties by root and path."""
-    c = candidates.candidates(html.nodes(table(spark, sf_dir, "pages"))).withColumn("size", F.size("entities"))
+    c = pages.candidates(table(spark, sf_dir, "pages")).withColumn("size", F.size("entities"))
     r = ranking.ranked(c, ["page_id"], "size", ["root_no", "xpath"], "entities")
     return r.where("rank = 1").select("page_id", "xpath", "size", "entities")
 
