@@ -89,7 +89,11 @@ def self_or_ancestors(nodes: DataFrame, groups: DataFrame, plain: bool = True, i
 
     ``plain`` names add up over levels, ``indexed`` ones begin with (n-level)-; ``names=False`` leaves out ids and classes, ``average`` divides values by ``depth``.
     """
-    n = levels(nodes, groups, depth)
+    return ancestor_votes(levels(nodes, groups, depth), plain, indexed, names, average, depth)
+
+
+def ancestor_votes(n: DataFrame, plain: bool = True, indexed: bool = False, names: bool = True, average: bool = False, depth: int = 5) -> DataFrame:
+    """``self_or_ancestors`` of the nodes at each level, as ``levels`` gives them."""
     many = F.when(F.col("n_children") <= 3, F.col("n_children").cast("string")).otherwise("many")
     votes = [_occurrence("tag", F.col("tag")), _occurrence("num-children", many), _occurrence("child-index", F.col("child_idx"), lone=False)]
     votes += [_occurrence(a, F.nullif(F.col("attrs")[a], F.lit("")), words=True) for a in ("id", "class")] if names else []
@@ -113,13 +117,23 @@ def node_range(nodes: DataFrame, groups: DataFrame, collapsed: bool = True) -> D
         times = nodes.select("page_id", "root_no", F.col("pre_id"), "ts_in", "ts_out")
         ends = groups.select(*KEYS, "node_ids", F.array_min("node_ids").alias("pre_id")).join(times.drop("ts_out"), ["page_id", "root_no", "pre_id"]).withColumn("pre_id", F.array_max("node_ids")).join(times.drop("ts_in"), ["page_id", "root_no", "pre_id"])
         rows, low, high = ends.join(nodes.groupBy("page_id", "root_no").agg(F.max("ts_out").alias("n")), ["page_id", "root_no"]), F.col("ts_in"), F.col("ts_out")
+    return places(rows, low, high, n)
+
+
+def places(rows: DataFrame, low: Column, high: Column, n: Column) -> DataFrame:
+    """``node_range`` of groups that have their first and last places and the number of places."""
     names = F.concat(*(_steps(F.lit(k), stats.percents(v / n), "%") for k, v in (("length", high - low), ("start", low), ("end", high))))
     return indicators(rows, KEYS, "node-range", names)
 
 
 def hole(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     """Whether the selected nodes of a level leave out children at the top, middle or bottom of their parents, of all children and of those of their tag."""
-    n = levels(nodes, groups).where("depth > 2")
+    return holes(levels(nodes, groups))
+
+
+def holes(n: DataFrame) -> DataFrame:
+    """``hole`` of the nodes at each level, as ``levels`` gives them."""
+    n = n.where("depth > 2")
     edge = [F.count("*").alias("n"), F.first("n_sib").alias("all_any"), F.first("n_sib_tag").alias("all_tag"), F.min(F.struct("pre_id", F.element_at("tags", -2).alias("parent"), "tag")).alias("first")]
     for kind, column in (("any", "child_idx"), ("tag", "child_idx_tag")):
         edge += [F.min(column).alias(f"low_{kind}"), F.max(column).alias(f"high_{kind}")]

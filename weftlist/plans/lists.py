@@ -5,53 +5,53 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftlist.functions import text
-from weftlist.operators import candidates, evaluation, features, learning, ranking
+from weftlist.operators import evaluation, features, learning, pages, ranking
 from weftlist.plans.registry import query, shared_folder, table
-from weftlist.sources import html
 
 KEYS = features.KEYS
 
 
 def _kept(df, name):
-    """``df`` written to the shared folder and read again: pages are parsed once, however often their nodes are used."""
+    """``df`` written to the shared folder and read again: pages are parsed once, however often their lists are used."""
     path = f"{shared_folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _groups(s, d):
-    nodes = _kept(html.nodes(table(s, d, "pages")), "nodes")
-    return nodes, _kept(candidates.groups(candidates.candidates(nodes), 2), "groups")
+def _groups(s, d, level=0, climb=0):
+    """Groups of all pages, dealt out once by group. Their number of parts is given, as a group is few bytes but many rows later."""
+    groups = _kept(pages.groups(table(s, d, "pages"), level, climb=climb), "groups")
+    return groups.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), *KEYS)
 
 
 def _candidates(s, d):
-    return candidates.candidates(_kept(html.nodes(table(s, d, "pages")), "nodes"))
+    return pages.candidates(table(s, d, "pages"))
 
 
 @query()
 def features_self_or_ancestors(s, d):
-    return features.self_or_ancestors(*_groups(s, d))
+    return features.ancestor_votes(pages.levels(_groups(s, d, climb=5)))
 
 
 @query()
 def features_node_range(s, d):
-    return features.node_range(*_groups(s, d))
+    groups = pages.groups(table(s, d, "pages"))
+    return features.places(groups, F.array_min("node_ids") + 1, F.array_max("node_ids") + 1, F.col("n_nodes"))
 
 
 @query()
 def features_hole(s, d):
-    return features.hole(*_groups(s, d))
+    return features.holes(pages.levels(pages.groups(table(s, d, "pages"), climb=5)))
 
 
 @query()
 def features_entity(s, d):
-    return features.entity(_groups(s, d)[1]).withColumn("value", F.round("value", 6))
+    return features.entity(_groups(s, d, 2)).withColumn("value", F.round("value", 6))
 
 
 @query()
 def features_path_tail(s, d):
-    c = _candidates(s, d)
-    return features.path_tail(c, ["page_id", "root_no", "xpath"])
+    return features.path_tail(_candidates(s, d), ["page_id", "root_no", "xpath"])
 
 
 VOTES = """WITH c AS (SELECT o_custkey, o_orderpriority AS v, count(*) AS c FROM orders GROUP BY ALL),
@@ -125,7 +125,7 @@ def fold_statistics(s, d):
 @query()
 def train_path_ranker(s, d):
     """Weights of path features after five passes, where a page's navigation lists are what was asked for."""
-    c = _candidates(s, d)
+    c = _kept(_candidates(s, d), "candidates")
     keys = ["page_id", "root_no", "xpath"]
     f = features.common(features.path_tail(c, keys), ["page_id"])
     rewards = c.select(*keys, F.contains("xpath", F.lit("nav")).cast("double").alias("reward"))
