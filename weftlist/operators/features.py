@@ -169,14 +169,15 @@ def entity(groups: DataFrame, count: bool = False, phrase: bool = True, collapse
     rows += [_occurrence("phrase-shape", F.col("shape"))] if phrase else []
     rows += [_occurrence("collapsed-phrase-shape", F.array_join(text.collapse(F.col("words")), " "))] if collapsed else []
     rows += [_occurrence("num-word", F.size("words"))] if words else []
-    shapes = e.select(*KEYS, F.explode("words").alias("w")).select(*KEYS, F.inline(F.array(_occurrence("word-shape", F.col("w")))))
-    out = voting(e.select(*KEYS, F.inline(F.array(*rows))).unionByName(shapes), KEYS, "entity")
+    shapes = F.transform("words", lambda w: _occurrence("word-shape", w))
+    out = voting(e.select(*KEYS, F.inline(F.concat(F.array(*rows), shapes))), KEYS, "entity")
     most = e.groupBy(*KEYS, "e").agg(F.count("*").alias("c")).groupBy(*KEYS).agg(F.max("c").alias("c"), F.sum("c").alias("n"))
     names = _steps(F.lit("entity-max-duplication"), stats.quantized(F.col("c")))
     names = F.concat(names, _steps(F.lit("num-entities"), stats.quantized(F.col("n")))) if count else names
     out = out.unionByName(indicators(most, KEYS, "entity", names))
     if mean:
-        per = stats.mean_dev(e.withColumn("n", F.size("words")), KEYS, "n")
+        # Inlined, as the condition on n would else be computed from the string once more for each use of its shape.
+        per = stats.mean_dev(e.select(*KEYS, F.inline(F.array(F.struct(F.size("words").alias("n"))))), KEYS, "n")
         if steps:
             out = out.unionByName(indicators(per, KEYS, "entity", F.concat(*(_steps(F.lit(f"num-word-{k}"), stats.quantized(F.col(k))) for k in ("mean", "deviation")))))
         else:
